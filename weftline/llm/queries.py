@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import langid
+from weftline.llm import bpe, langid, linededup
 from weftline.llm.common import held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,3 +30,45 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.train(docs, ~held_out("doc_id"))
     found = langid.identify(docs, model, keep=["doc_id"])
     return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def tokenizer_path() -> str:
+    """The vocabulary file that the contracts name; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op8_bpe_encode_decode")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return bpe.encode_decode(docs, tokenizer_path(), keep=["doc_id"], digest_only=True)
+
+
+# a key's characters are stripped and lower-cased in ASCII only; length() counts code points
+LINE_SQL = r"""
+WITH blank AS (SELECT chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) AS s),
+split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM split),
+keyed AS (
+  SELECT doc_id, line, pos, translate(trim(line, s), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line_key
+  FROM lines, blank
+),
+shared AS (
+  SELECT line_key, min(doc_id) AS first_doc FROM keyed WHERE length(line_key) >= 10
+  GROUP BY line_key HAVING count(DISTINCT doc_id) >= 2
+),
+marked AS (
+  SELECT k.*, s.line_key IS NOT NULL AND k.doc_id > s.first_doc AS lost
+  FROM keyed k LEFT JOIN shared s ON k.line_key = s.line_key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+@query("op9_line_dedup", LINE_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return linededup.dedup_lines(docs, keep=["doc_id"], digest_only=True)
