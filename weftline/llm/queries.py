@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, embed_dedup, langid, linededup, packing, simhash
+from weftline.llm import bpe, embed_dedup, langid, linededup, packing, simhash, topk
 from weftline.llm.common import held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,22 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_embedding_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+TOP_SQL = """
+WITH q AS (
+  SELECT vec_id, [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_sum([x[1] * x[2] FOR x IN list_zip(a.v, b.v)])::BIGINT AS score
+  FROM q a JOIN q b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query("op7_bit_sliced_top_k", TOP_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
