@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, embed_dedup, langid, linededup, packing, secretscan, simhash, topk, toxicity
+from weftline.llm import bpe, embed_dedup, langid, linededup, packing, pii, secretscan, simhash, topk, toxicity
 from weftline.llm.common import held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return secretscan.scan(docs, secretscan.train(docs), keep=["doc_id"])
+
+
+#: A deployment passes a key of its own; this one only makes the queries repeatable.
+PII_KEY = b"weftline demonstration key"
+
+
+@query("op1_pii_surrogates")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(docs, PII_KEY)
