@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from weftline.llm.common import append_columns
 
 #: Words that a task remembers, in each of two generations, and the longest such word.
-MEMO_WORDS, MEMO_CHARS = 150_000, 64
+MEMO_WORDS, MEMO_CHARS = 250_000, 64
 #: Below this code point canonical composition changes nothing and both libraries' character classes agree.
 PLAIN_BELOW = 0x300
 END = "\x00"  # ends a word inside the automaton; byte-level alphabets hold no control characters
@@ -70,14 +70,16 @@ class WordBpe:
             merged, ids = vocab[left + right], (vocab[left], vocab[right])
             self.merge_rank[ids] = rank
             self.rank[merged], self.parts[merged] = rank, ids
+        self.fits: dict[tuple[int, int], bool] = {}
+        self.whole: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for text, i in vocab.items():
+            if not self.reachable(i):
+                continue
             inner = text.removesuffix(suffix)
             self.automaton.add_word(inner + END * (text != inner), (i, len(inner)))
         self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
-        self.words_of, self.older_words, self.memo, self.older = {}, {}, _Memo(self), {}
+        self.memo, self.older = _Memo(self), {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the text of a and b, put together, is encoded as a and b.
@@ -86,10 +88,7 @@ class WordBpe:
         If the two tokens that then meet would have merged before the merge undone last, the pair cannot stand.
         Of equal merges the left one comes first.
         """
-        key, found = (a, b), self.fits.get((a, b))
-        if found is not None:
-            return found
-        rank, before, found = self.rank, len(self.merge_rank), True
+        key, rank, before, found = (a, b), self.rank, len(self.merge_rank), True
         while True:
             if self.merge_rank.get((a, b), before) < before:
                 found = False
@@ -133,26 +132,25 @@ class WordBpe:
 
     def encode_word(self, word: str) -> list[int]:
         """The ids of one pre-token, written in the byte alphabet."""
-        n = len(word)
-        last: list[tuple[int, int] | None] = [None] * (n + 1)  # by prefix length: its encoding's last token, and that token's length
+        n, fits, compatible = len(word), self.fits, self.compatible
+        last, size = [-1] * (n + 1), [0] * (n + 1)  # by prefix length: its encoding's last token, and that token's length
         for at, (token, length) in self.automaton.iter(word + END):
-            end = min(at + 1, n)
-            if at == n - 1 and last[n] is not None or last[end] is not None:
-                continue
-            if at == n - 1:
-                continue  # the whole word ends in a token with the suffix
+            end = at + 1 if at < n else n
+            if last[end] >= 0 or at == n - 1:
+                continue  # found already, or the whole word without the suffix
             start = end - length
             if start == 0:
-                if self.reachable(token):
-                    last[end] = (token, length)
-            elif last[start] is not None and self.reachable(token) and self.compatible(last[start][0], token):
-                last[end] = (token, length)
+                last[end], size[end] = token, length
+            elif (before := last[start]) >= 0:
+                found = fits.get((before, token))
+                if compatible(before, token) if found is None else found:
+                    last[end], size[end] = token, length
         ids = []
         while n:
-            token, length = last[n]
-            ids.append(token)
-            n -= length
-        return ids[::-1]
+            ids.append(last[n])
+            n -= size[n]
+        ids.reverse()
+        return ids
 
     def mapped(self, word: str) -> str:
         alphabet = self.alphabet
@@ -162,7 +160,6 @@ class WordBpe:
         """(packed ids, decoded text) of each run of pre-tokens."""
         if len(self.memo) > MEMO_WORDS:
             self.older, self.memo = self.memo, _Memo(self)
-            self.older_words, self.words_of = self.words_of, {}
         if self.exotic.search(text):
             inner = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
             return [self.entry(word) for word, _ in inner]
@@ -172,13 +169,6 @@ class WordBpe:
         ids = self.encode_word(mapped)
         return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
 
-    def word(self, word: str) -> tuple[bytes, str]:
-        """The entry of one lower-cased pre-token."""
-        found = self.words_of.get(word) or self.older_words.get(word) or self.entry(self.mapped(word))
-        if len(word) <= MEMO_CHARS:
-            self.words_of[word] = found
-        return found
-
     def pieces(self, text: str | None):
         if not text:
             return []
@@ -214,8 +204,15 @@ class _Memo(dict):
     def __missing__(self, run: str) -> tuple[bytes, str]:
         found = dict.get(self.bpe.older, run)
         if found is None:
-            inner = [self.bpe.word(w) for w in self.bpe.words.findall(run)]
-            found = b"".join([ids for ids, _ in inner]), " ".join([text for _, text in inner])
+            if run.isalpha():
+                found = self.bpe.entry(self.bpe.mapped(run))
+            elif run[:-1].isalpha() and run[-1] in ",.;:!?":
+                # a word and a mark: not remembered, since both are
+                (a, x), (b, y) = self[run[:-1]], self[run[-1]]
+                return a + b, f"{x} {y}"
+            else:
+                inner = [self.bpe.entry(self.bpe.mapped(w)) for w in self.bpe.words.findall(run)]
+                found = b"".join([ids for ids, _ in inner]), " ".join([text for _, text in inner])
         if len(run) <= MEMO_CHARS:
             self[run] = found
         return found
