@@ -43,7 +43,7 @@ ADDRESS = frozenset("you your yours you're ur u du dich dir dein deine ihr euch
 DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t", "*": "", "_": "", "-": "", ".": ""})
 
 WORD = re.compile(r"[^\W\d_]+")
-DISGUISED = re.compile(r"[^\W\d_]+(?:[0-9@$!|+*_\-.]+[^\W\d_]+)+|[0-9@$|]+[^\W\d_]{2,}")
+DISGUISED = re.compile(r"[^\W\d_]+(?:[0-9@$!|+*_\-.]+[^\W\d_]+)+|[0-9@$|]+[^\W\d_]+(?:[0-9@$!|+*]+[^\W\d_]+)*")
 STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 APART = re.compile(r"\b[^\W\d_](?:[ .\-_*][^\W\d_]\b){3,}")
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
