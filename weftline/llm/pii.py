@@ -169,9 +169,10 @@ def redrawn(text: str, stream: Stream, keep: int = 0) -> str:
 def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
     """The canonical surrogate of a canonical entity."""
     stream = Stream(key, kind, entity, attempt)
+    longer = attempt // 2  # where short forms are used up, longer ones are free
     if kind == "email":
         local, _, domain = entity.rpartition("@")
-        return redrawn(local, stream) + "@" + (domain if RESERVED.search(domain) else redrawn(domain.rpartition(".")[0], stream) + ".example")
+        return redrawn(local + longer * "x", stream) + "@" + (domain if RESERVED.search(domain) else redrawn(domain.rpartition(".")[0], stream) + ".example")
     if kind == "ip":
         parts = [int(x) for x in entity.split(".")]
         if parts[0] in (10, 127):  # private and loopback addresses stay so
@@ -192,7 +193,7 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int = 0) -> str:
     if kind == "name":
         gender, _, name = entity.partition(":")
         words, syllables = name.split(" "), SYLLABLES[script_of(name)]
-        drawn = ["".join(stream.pick(syllables) for _ in range(3 + stream.below(2))).capitalize() for _ in words]
+        drawn = ["".join(stream.pick(syllables) for _ in range(3 + stream.below(2) + longer)).capitalize() for _ in words]
         if len(words) > 1 and script_of(name) == "latin":
             drawn[0] = stream.pick(GIVEN[gender])
         return " ".join(drawn)
@@ -250,11 +251,12 @@ def moved_entities(docs: DataFrame, text_col: str, key: bytes) -> DataFrame:
         free = drawn.join(taken, ["kind", "drawn"], "left_anti").withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
         lost = cut(drawn.join(free.select("kind", "entity"), ["kind", "entity"], "left_anti").select("kind", "entity", (F.col("attempt") + 1).alias("attempt")))
         if round_:
+            free = cut(free)
             kept = free.select("kind", "entity", "attempt")
             moved = kept if moved is None else moved.unionByName(kept)
         if lost.isEmpty():
             return cut(moved) if moved is not None else every.limit(0)
-        taken, waiting = taken.unionByName(free.select("kind", "drawn")), lost
+        taken, waiting = cut(taken.unionByName(free.select("kind", "drawn"))), lost
     raise RuntimeError(f"surrogates still collide after {MOST_ROUNDS} rounds")
 
 
