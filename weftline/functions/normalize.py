@@ -48,7 +48,9 @@ def strip_marks(text: Column) -> Column:
     replaced = out
     for c, base in longer:
         replaced = F.replace(replaced, F.lit(c), F.lit(base))
-    return F.when(out.rlike(f"[{several}]"), replaced).otherwise(F.regexp_replace(out, r"\p{Mn}", ""))
+    marked = F.when(out.rlike(f"[{several}]"), F.regexp_replace(replaced, r"\p{Mn}", "")).otherwise(F.regexp_replace(out, r"\p{Mn}", ""))
+    # a scan for any character beyond ASCII is far cheaper than looking each one up
+    return F.when(text.rlike(r"[^\x00-\x7F]"), marked).otherwise(text)
 
 
 def strip_punctuation(text: Column) -> Column:
