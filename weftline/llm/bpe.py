@@ -22,6 +22,8 @@ import hashlib
 import json
 import re
 import struct
+import sys
+from array import array
 
 from pyspark.sql import DataFrame
 
@@ -29,6 +31,8 @@ from weftline.llm.common import append_columns
 
 #: Words that a task remembers, in each of two generations, and the longest such word.
 MEMO_WORDS, MEMO_CHARS = 250_000, 64
+#: Verdicts on pairs of tokens that a task remembers.
+MOST_FITS = 1_000_000
 #: Below this code point canonical composition changes nothing and both libraries' character classes agree.
 PLAIN_BELOW = 0x300
 END = "\x00"  # ends a word inside the automaton; byte-level alphabets hold no control characters
@@ -53,6 +57,8 @@ class WordBpe:
         model, steps = spec["model"], spec["normalizer"]["normalizers"]
         if model["type"] != "BPE" or [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"] or not model["end_of_word_suffix"]:
             raise ValueError(f"{path}: BPE with an end-of-word suffix over lower-cased text is expected")
+        if sys.byteorder != "little" or array("I").itemsize != 4:
+            raise RuntimeError("ids are packed as the machine's unsigned 32-bit integers, little end first")
         self.library = Tokenizer.from_file(path)
         suffix, vocab = model["end_of_word_suffix"], model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -70,7 +76,8 @@ class WordBpe:
             merged, ids = vocab[left + right], (vocab[left], vocab[right])
             self.merge_rank[ids] = rank
             self.rank[merged], self.parts[merged] = rank, ids
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, dict[int, bool]] = {i: {} for i in vocab.values()}
+        self.n_fits = 0
         self.whole: dict[int, bool] = {}
         self.automaton = ahocorasick.Automaton()
         for text, i in vocab.items():
@@ -80,6 +87,7 @@ class WordBpe:
             self.automaton.add_word(inner + END * (text != inner), (i, len(inner)))
         self.automaton.make_automaton()
         self.memo, self.older = _Memo(self), {}
+        self.ids, self.older_ids = _Ids(self), {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the text of a and b, put together, is encoded as a and b.
@@ -99,9 +107,12 @@ class WordBpe:
                 before, a = rank[a], self.parts[a][1]
             else:
                 before, b = rank[b] + 1, self.parts[b][0]
-        if len(self.fits) > 2_000_000:
-            self.fits.clear()
-        self.fits[key] = found
+        if self.n_fits >= MOST_FITS:
+            for row in self.fits.values():
+                row.clear()
+            self.n_fits = 0
+        self.n_fits += 1
+        self.fits[key[0]][key[1]] = found
         return found
 
     def reachable(self, token: int) -> bool:
@@ -142,7 +153,7 @@ class WordBpe:
             if start == 0:
                 last[end], size[end] = token, length
             elif (before := last[start]) >= 0:
-                found = fits.get((before, token))
+                found = fits[before].get(token)
                 if compatible(before, token) if found is None else found:
                     last[end], size[end] = token, length
         ids = []
@@ -153,6 +164,8 @@ class WordBpe:
         return ids
 
     def mapped(self, word: str) -> str:
+        if word.isascii() and word.isprintable():
+            return word  # without white space, as pre-tokens are, visible ASCII stands for itself
         alphabet = self.alphabet
         return "".join([alphabet[b] for b in word.encode("utf-8")])
 
@@ -184,7 +197,13 @@ class WordBpe:
 
     def packed(self, text: str | None) -> bytes:
         """The ids of a text, each as a little-endian unsigned 32-bit integer."""
-        return b"".join([ids for ids, _ in self.pieces(text)])
+        if not text:
+            return b""
+        if self.specials is not None and any(s in text for s in self.special) or self.exotic.search(text):
+            return b"".join([ids for ids, _ in self.pieces(text)])
+        if len(self.ids) > MEMO_WORDS:
+            self.older_ids, self.ids = self.ids, _Ids(self)
+        return b"".join(map(self.ids.__getitem__, text.lower().split()))
 
     def encode(self, text: str | None) -> list[int]:
         packed = self.packed(text)
@@ -218,6 +237,26 @@ class _Memo(dict):
         return found
 
 
+class _Ids(dict):
+    """Packed ids alone, by lower-cased run of other than white space, for callers that need no decoded text."""
+
+    def __init__(self, bpe: WordBpe):
+        self.bpe = bpe
+
+    def __missing__(self, run: str) -> bytes:
+        found = self.bpe.older_ids.get(run)
+        if found is None:
+            if run.isalpha():
+                found = array("I", self.bpe.encode_word(self.bpe.mapped(run))).tobytes()
+            elif run[:-1].isalpha() and run[-1] in ",.;:!?":
+                return self[run[:-1]] + self[run[-1]]
+            else:
+                found = b"".join([array("I", self.bpe.encode_word(self.bpe.mapped(w))).tobytes() for w in self.bpe.words.findall(run)])
+        if len(run) <= MEMO_CHARS:
+            self[run] = found
+        return found
+
+
 @functools.lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
     """One encoder for each process and file."""
