@@ -18,6 +18,7 @@ Defined results:
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import json
 import re
@@ -35,6 +36,7 @@ MEMO_WORDS, MEMO_CHARS = 250_000, 64
 MOST_FITS = 1_000_000
 #: Below this code point canonical composition changes nothing and both libraries' character classes agree.
 PLAIN_BELOW = 0x300
+START = 1 << 30  # stands for the token before the first
 END = "\x00"  # ends a word inside the automaton; byte-level alphabets hold no control characters
 
 
@@ -84,8 +86,10 @@ class WordBpe:
             if not self.reachable(i):
                 continue
             inner = text.removesuffix(suffix)
-            self.automaton.add_word(inner + END * (text != inner), (i, len(inner)))
+            whole = inner + END * (text != inner)
+            self.automaton.add_word(whole, (i, len(whole)))
         self.automaton.make_automaton()
+        self.fits[START] = dict.fromkeys(vocab.values(), True)  # any token may come first
         self.memo, self.older = _Memo(self), {}
         self.ids, self.older_ids = _Ids(self), {}
 
@@ -108,8 +112,9 @@ class WordBpe:
             else:
                 before, b = rank[b] + 1, self.parts[b][0]
         if self.n_fits >= MOST_FITS:
-            for row in self.fits.values():
-                row.clear()
+            for left, row in self.fits.items():
+                if left != START:
+                    row.clear()
             self.n_fits = 0
         self.n_fits += 1
         self.fits[key[0]][key[1]] = found
@@ -144,22 +149,19 @@ class WordBpe:
     def encode_word(self, word: str) -> list[int]:
         """The ids of one pre-token, written in the byte alphabet."""
         n, fits, compatible = len(word), self.fits, self.compatible
-        last, size = [-1] * (n + 1), [0] * (n + 1)  # by prefix length: its encoding's last token, and that token's length
+        # by prefix length, the word's end counting as one more: the encoding's last token and that token's length
+        last, size = [-1] * (n + 2), [0] * (n + 2)
+        last[0], last[n] = START, 0  # the whole word without its end is not looked for
         for at, (token, length) in self.automaton.iter(word + END):
-            end = at + 1 if at < n else n
-            if last[end] >= 0 or at == n - 1:
-                continue  # found already, or the whole word without the suffix
-            start = end - length
-            if start == 0:
-                last[end], size[end] = token, length
-            elif (before := last[start]) >= 0:
+            end = at + 1
+            if last[end] < 0 and (before := last[end - length]) >= 0:
                 found = fits[before].get(token)
                 if compatible(before, token) if found is None else found:
                     last[end], size[end] = token, length
-        ids = []
-        while n:
-            ids.append(last[n])
-            n -= size[n]
+        ids, at = [], n + 1
+        while at:
+            ids.append(last[at])
+            at -= size[at]
         ids.reverse()
         return ids
 
@@ -259,8 +261,10 @@ class _Ids(dict):
 
 @functools.lru_cache(maxsize=2)
 def load(path: str) -> WordBpe:
-    """One encoder for each process and file."""
-    return WordBpe(path)
+    """One encoder for each process and file. Its tables live as long as the process: the collector need not visit them."""
+    made = WordBpe(path)
+    gc.freeze()
+    return made
 
 
 def encode_decode(docs: DataFrame, path: str, text_col: str = "text", keep: list[str] | None = None, digest_only: bool = False) -> DataFrame:
