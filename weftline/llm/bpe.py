@@ -36,6 +36,10 @@ MEMO_WORDS, MEMO_CHARS = 250_000, 64
 MOST_FITS = 1_000_000
 #: Below this code point canonical composition changes nothing and both libraries' character classes agree.
 PLAIN_BELOW = 0x300
+#: Marks of which any run is one pre-token by itself; a word and such a run are two.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A word of up to so many letters is remembered together with the mark after it; longer ones are put together anew.
+SHORT_WORD = 5
 START = 1 << 30  # stands for the token before the first
 END = "\x00"  # ends a word inside the automaton; byte-level alphabets hold no control characters
 
@@ -68,6 +72,7 @@ class WordBpe:
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         # str.split() takes the separators U+001C to U+001F for white space, the file's pattern does not
         self.exotic = re.compile(f"[^\\x00-\\u{PLAIN_BELOW - 1:04x}]|[\\x1c-\\x1f]")
+        self.separators = "\x1c\x1d\x1e\x1f"
         self.token = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
         self.alphabet = byte_alphabet()
         self.parts: dict[int, tuple[int, int]] = {}
@@ -90,8 +95,7 @@ class WordBpe:
             self.automaton.add_word(whole, (i, len(whole)))
         self.automaton.make_automaton()
         self.fits[START] = dict.fromkeys(vocab.values(), True)  # any token may come first
-        self.memo, self.older = _Memo(self), {}
-        self.ids, self.older_ids = _Ids(self), {}
+        self.memo, self.ids = _Memo(self, {}), _Ids(self, {})
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the text of a and b, put together, is encoded as a and b.
@@ -171,11 +175,20 @@ class WordBpe:
         alphabet = self.alphabet
         return "".join([alphabet[b] for b in word.encode("utf-8")])
 
+    def plain(self, text: str) -> bool:
+        """Whether nothing in the text is exotic. ASCII and Latin-1 texts are known without looking at each character."""
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return self.exotic.search(text) is None
+        return not any(c in text for c in self.separators)
+
     def _pieces(self, text: str):
         """(packed ids, decoded text) of each run of pre-tokens."""
         if len(self.memo) > MEMO_WORDS:
-            self.older, self.memo = self.memo, _Memo(self)
-        if self.exotic.search(text):
+            self.memo.older, self.memo = None, _Memo(self, self.memo)
+        if not self.plain(text):
             inner = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
             return [self.entry(word) for word, _ in inner]
         return list(map(self.memo.__getitem__, text.lower().split()))
@@ -201,10 +214,10 @@ class WordBpe:
         """The ids of a text, each as a little-endian unsigned 32-bit integer."""
         if not text:
             return b""
-        if self.specials is not None and any(s in text for s in self.special) or self.exotic.search(text):
+        if self.specials is not None and any(s in text for s in self.special) or not self.plain(text):
             return b"".join([ids for ids, _ in self.pieces(text)])
         if len(self.ids) > MEMO_WORDS:
-            self.older_ids, self.ids = self.ids, _Ids(self)
+            self.ids.older, self.ids = None, _Ids(self, self.ids)
         return b"".join(map(self.ids.__getitem__, text.lower().split()))
 
     def encode(self, text: str | None) -> list[int]:
@@ -219,21 +232,24 @@ class WordBpe:
 class _Memo(dict):
     """Entries by lower-cased run of other than white space; no pre-token spans white space."""
 
-    def __init__(self, bpe: WordBpe):
-        self.bpe = bpe
+    def __init__(self, bpe: WordBpe, older: dict):
+        self.bpe, self.older = bpe, older
 
     def __missing__(self, run: str) -> tuple[bytes, str]:
-        found = dict.get(self.bpe.older, run)
-        if found is None:
-            if run.isalpha():
-                found = self.bpe.entry(self.bpe.mapped(run))
-            elif run[:-1].isalpha() and run[-1] in ",.;:!?":
-                # a word and a mark: not remembered, since both are
-                (a, x), (b, y) = self[run[:-1]], self[run[-1]]
-                return a + b, f"{x} {y}"
-            else:
-                inner = [self.bpe.entry(self.bpe.mapped(w)) for w in self.bpe.words.findall(run)]
-                found = b"".join([ids for ids, _ in inner]), " ".join([text for _, text in inner])
+        stem = run.rstrip(MARKS)
+        if stem and len(stem) < len(run) and stem.isalpha():
+            (a, x), (b, y) = self[stem], self[run[len(stem) :]]
+            found = a + b, f"{x} {y}"
+            if len(stem) > SHORT_WORD and len(run) == len(stem) + 1:
+                return found
+        else:
+            found = self.older.get(run)
+            if found is None:
+                if run.isalpha():
+                    found = self.bpe.entry(self.bpe.mapped(run))
+                else:
+                    inner = [self.bpe.entry(self.bpe.mapped(w)) for w in self.bpe.words.findall(run)]
+                    found = b"".join([ids for ids, _ in inner]), " ".join([text for _, text in inner])
         if len(run) <= MEMO_CHARS:
             self[run] = found
         return found
@@ -242,18 +258,20 @@ class _Memo(dict):
 class _Ids(dict):
     """Packed ids alone, by lower-cased run of other than white space, for callers that need no decoded text."""
 
-    def __init__(self, bpe: WordBpe):
-        self.bpe = bpe
+    def __init__(self, bpe: WordBpe, older: dict):
+        self.bpe, self.older = bpe, older
 
     def __missing__(self, run: str) -> bytes:
-        found = self.bpe.older_ids.get(run)
-        if found is None:
-            if run.isalpha():
-                found = array("I", self.bpe.encode_word(self.bpe.mapped(run))).tobytes()
-            elif run[:-1].isalpha() and run[-1] in ",.;:!?":
-                return self[run[:-1]] + self[run[-1]]
-            else:
-                found = b"".join([array("I", self.bpe.encode_word(self.bpe.mapped(w))).tobytes() for w in self.bpe.words.findall(run)])
+        stem = run.rstrip(MARKS)
+        if stem and len(stem) < len(run) and stem.isalpha():
+            found = self[stem] + self[run[len(stem) :]]
+            if len(stem) > SHORT_WORD and len(run) == len(stem) + 1:
+                return found
+        else:
+            found = self.older.get(run)
+            if found is None:
+                words = [run] if run.isalpha() else self.bpe.words.findall(run)
+                found = b"".join([array("I", self.bpe.encode_word(self.bpe.mapped(w))).tobytes() for w in words])
         if len(run) <= MEMO_CHARS:
             self[run] = found
         return found
