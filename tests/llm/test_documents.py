@@ -329,3 +329,14 @@ def test_surrogates_are_distinct_over_a_corpus(spark):
         found = {r["doc_id"]: r["text"] for r in out}
         assert found[900] is None and found[901] == ""
     assert pii.replace(frame.limit(0), b"k").count() == 0
+
+
+def test_names_keep_one_surrogate_with_and_without_a_title(spark):
+    given = [(1, "Herr Anton Berg und Frau Clara Feld"), (2, "My name is Anton Berg"), (3, "Dr. Clara Feld"), (4, "Mr Robin Holt, Mrs Robin Holt"), (5, "My name is Robin Holt"), (6, None)]
+    frame = spark.createDataFrame(given, "doc_id long, text string")
+    for listed in (pii.LISTED, 0):
+        text = {r["doc_id"]: r["text"] for r in pii.replace(frame, b"k", listed=listed).collect()}
+        named = {i: [e.text for e in pii.detect(t)] for i, t in text.items()}
+        assert named[2] == named[1][:1] and named[3] == named[1][1:]
+        assert named[1][0].split()[0] in pii.GIVEN["m"] and named[1][1].split()[0] in pii.GIVEN["f"]
+        assert len({*named[4], *named[5]}) == 3 and text[6] is None

@@ -5,7 +5,8 @@ security numbers, and names of people after a title or a phrase that introduces
 the format: separators, lengths, upper and lower case, script, a title's gender, an address's reserved domain.
 
 The same entity, written in any of its forms, gets the same surrogate in every document (coreference); different entities
-get different ones (distinctness). For this the whole corpus is surveyed first: every different entity has a first
+get different ones (distinctness). A name that has no title in one place and in another always the title of one gender is one
+person; with titles of both genders, those are different people, and the name without a title is a third. For this the whole corpus is surveyed first: every different entity has a first
 candidate from the key and its own canonical form; entities of a type whose candidates collide with each other, or with an
 entity that really occurs, move on to their next candidates, round by round, until no collision is left. Only the entities
 that had to move are listed; all others' surrogates follow from the key alone, so texts need not be shuffled. The list is
@@ -236,13 +237,36 @@ def with_surrogate(entities: DataFrame, key: bytes) -> DataFrame:
     return append_columns(entities, ["kind", "entity", "attempt"], [("drawn", "string")], make, ["kind", "entity", "attempt"])
 
 
+def untitled_names(entities: DataFrame) -> DataFrame:
+    """(kind, entity, target): names met without a title of a gender, where titles of just one gender occur with them."""
+    gender, bare = F.expr("substring(entity, 1, 1)"), F.expr("substring(entity, 3)")
+    # three rows for a name at most
+    names = entities.filter("kind = 'name'").groupBy("kind", bare.alias("bare")).agg(F.sort_array(F.collect_set(gender)).alias("g"))
+    met = names.filter((F.size("g") == 2) & F.array_contains("g", "n"))
+    return met.select("kind", F.concat(F.lit("n:"), "bare").alias("entity"), F.concat(F.array_min(F.array_remove("g", "n")), F.lit(":"), "bare").alias("target"))
+
+
 def moved_entities(docs: DataFrame, text_col: str, key: bytes) -> DataFrame:
+    """(kind, entity, target, attempt) of the entities that do not get the first candidate of their own.
+
+    target is the entity that entity is another form of (untitled_names), or entity itself; attempt is that of the
+    candidate that target keeps.
+    """
+    found = cut(entities_of(docs, text_col, key))
+    forms = cut(untitled_names(found))
+    moved = moved_candidates(found.join(forms, ["kind", "entity"], "left_anti"), key)
+    own = moved.select("kind", "entity", F.col("entity").alias("target"), "attempt")
+    same = forms.join(moved.select("kind", F.col("entity").alias("target"), "attempt"), ["kind", "target"], "left")
+    return cut(own.unionByName(same.select("kind", "entity", "target", F.coalesce("attempt", F.lit(0)).alias("attempt"))))
+
+
+def moved_candidates(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, entity, attempt) of the entities whose first candidate is taken; attempt is that of the one they keep.
 
     A candidate is kept by the entity with the smallest hash among those that draw it, unless it is the canonical form of
     an entity that occurs or was kept in an earlier round.
     """
-    every = cut(entities_of(docs, text_col, key).withColumn("attempt", F.lit(0)))
+    every = cut(entities.withColumn("attempt", F.lit(0)))
     real = every.select("kind", F.when(F.col("kind") == "name", F.expr("substring(entity, 3)")).otherwise(F.col("entity")).alias("drawn")).distinct()
     order = Window.partitionBy("kind", "drawn").orderBy(F.xxhash64("entity"), "entity")
     waiting, taken, moved = every, real, None
@@ -260,13 +284,14 @@ def moved_entities(docs: DataFrame, text_col: str, key: bytes) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {MOST_ROUNDS} rounds")
 
 
-def rewrite(text: str | None, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str | None, list[Entity]]:
+def rewrite(text: str | None, key: bytes, moved: dict[tuple[str, str], tuple[str, int]]) -> tuple[str | None, list[Entity]]:
     found = detect(text)
     if not found:
         return text, found
     out, at = [], 0
     for e in found:
-        out += [text[at : e.start], formatted(e.kind, e.text, surrogate(key, e.kind, e.canonical, attempts.get((e.kind, e.canonical), 0)))]
+        target, attempt = moved.get((e.kind, e.canonical), (e.canonical, 0))
+        out += [text[at : e.start], formatted(e.kind, e.text, surrogate(key, e.kind, target, attempt))]
         at = e.end
     return "".join([*out, text[at:]]), found
 
@@ -281,15 +306,15 @@ def replace(docs: DataFrame, key: bytes, text_col: str = "text", listed: int = L
         return [t for t, _ in found], [len(e) for _, e in found], [",".join(f"{x.kind}:{x.start}:{x.end}" for x in e) for _, e in found]
 
     if moved.count() <= listed:
-        attempts = {(r["kind"], r["entity"]): r["attempt"] for r in moved.collect()}  # listed rows at most
-        shared = docs.sparkSession.sparkContext.broadcast(attempts)
+        # listed rows at most
+        shared = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["entity"]): (r["target"], r["attempt"]) for r in moved.collect()})
 
         def make():
             return lambda texts: result([rewrite(t, key, shared.value) for t in texts])
 
         out = append_columns(docs, [text_col], kind, make, carried)
     else:
-        out = append_columns(with_attempts(docs, text_col, moved, carried), ["_text", "_moved"], kind, lambda: lambda texts, held: result([rewrite(t, key, {(k, e): int(a) for k, e, a in (x.split("\x00") for x in own or [])}) for t, own in zip(texts, held, strict=True)]), carried)
+        out = append_columns(with_attempts(docs, text_col, moved, carried), ["_text", "_moved"], kind, lambda: lambda texts, held: result([rewrite(text, key, {(k, e): (t, int(a)) for k, e, t, a in (x.split("\x00") for x in own or [])}) for text, own in zip(texts, held, strict=True)]), carried)
     return out.select(*[c for c in carried if c not in ("n_entities", "entities")], *[c for c, _ in kind if c not in carried or c in ("n_entities", "entities")])
 
 
@@ -305,6 +330,6 @@ def with_attempts(docs: DataFrame, text_col: str, moved: DataFrame, carried: lis
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["hash", "kind", "entity"])
 
     own = docs.select(digest.alias("hash"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "hash string, kind string, entity string")
-    needed = own.join(moved, ["kind", "entity"]).groupBy("hash").agg(F.collect_set(F.concat_ws("\x00", "kind", "entity", F.col("attempt").cast("string"))).alias("_moved"))
+    needed = own.join(moved, ["kind", "entity"]).groupBy("hash").agg(F.collect_set(F.concat_ws("\x00", "kind", "entity", "target", F.col("attempt").cast("string"))).alias("_moved"))
     rows = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text_col}`").alias("_text"), digest.alias("_hash"))
     return rows.join(needed, F.col("_hash") == F.col("hash"), "left").drop("_hash", "hash")
