@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from weftline.llm.common import append_columns, sample_by_hash
 
 SAMPLE_TEXTS = 1500
-#: Tokens on either side of a match that are learned from; windows without a match; rounds of training.
-WINDOW, EMPTY_WINDOWS, ROUNDS = 14, 1500, 60
+#: Tokens on either side of a match that are learned from; the most windows of one sampled text, so that no text outweighs
+#: the others in training; windows without a match; rounds of training.
+WINDOW, WINDOWS_OF_TEXT, EMPTY_WINDOWS, ROUNDS = 14, 20, 1500, 60
 MEMO_TOKENS = 200_000
 KINDS = ("assign", "access", "hex", "crf")
 
@@ -237,7 +238,7 @@ def windows(texts: list[str]) -> list[tuple[list[list[str]], list[int]]]:
             return rows, tags[lo:hi]
 
         secret = [i for i, t in enumerate(tags) if t == BEGIN]
-        for i in secret[:20]:
+        for i in secret[:WINDOWS_OF_TEXT]:
             found.append(take(max(0, i - WINDOW), min(len(tokens), i + WINDOW)))
         if len(empty) < EMPTY_WINDOWS:
             # a place that depends on the text alone
