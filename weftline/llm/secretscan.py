@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import append_columns, sample_by_hash
+from weftline.llm.common import append_columns, cut, sample_by_hash
 
 SAMPLE_TEXTS = 1500
 #: Tokens on either side of a match that are learned from; the most windows of one sampled text, so that no text outweighs
@@ -304,7 +304,8 @@ def fit(given: list[tuple[list[list[str]], list[int]]], rounds: int = ROUNDS, sh
 def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_texts: int = SAMPLE_TEXTS) -> SecretField:
     """A field from the sample_texts matching and as many other texts whose hashed ids are smallest."""
     some = F.col(text_col).rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
-    flagged = docs.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), some.cast("int").alias("_some"))
+    # written once, as the sample reads the flags twice and finding them reads every text
+    flagged = cut(docs.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), some.cast("int").alias("_some")))
     ids = [r[0] for r in sample_by_hash(flagged, "_id", "_some", sample_texts).select("_id").collect()]
     rows = docs.filter(F.col(id_col).isin(ids)).select(id_col, text_col).collect() if ids else []
     return fit(windows([r[1] for r in sorted(rows, key=lambda r: (r[0], r[1] or "")) if r[1]]))
