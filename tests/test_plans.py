@@ -26,3 +26,9 @@ def test_fuzzy_features_have_every_candidate_up_to_the_operators_cap(spark):
     found = {(r[0], r[1]) for r in QUERIES["pair_features_fuzzy"](spark, SMALL).select("a_id", "b_id").collect()}
     assert brute_force(spark, False, blocking.CAP) <= found
     assert len(found) > len(brute_force(spark, False, 5))
+
+
+def test_fuzzy_features_have_the_phonetic_candidates(spark):
+    found = {(r["a_id"], r["b_id"]): r["block_keys"] for r in QUERIES["pair_features_fuzzy"](spark, SMALL).select("a_id", "b_id", "block_keys").collect()}
+    assert set(found) == brute_force(spark, True, blocking.CAP)
+    assert "k_phonetic" in found.values()  # shared by nothing else

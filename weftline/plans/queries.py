@@ -44,9 +44,9 @@ def decorated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(key.cast("string").alias("native_id"), five.alias("title"), six.alias("artist_credit"), F.when(size > 45, None).when(size < 3, 1800 + size).otherwise(1950 + size).cast("int").alias("year"))
 
 
-def scored_pairs(spark: SparkSession, sf_dir: str, fuzzy: bool = False, cap: int = CAP) -> DataFrame:
-    """CAP is the small cap that the SQL is written with; what no SQL checks is given the operator's own."""
-    a, b = catalogue.sides(spark, sf_dir)
+def scored_pairs(spark: SparkSession, sf_dir: str, fuzzy: bool = False, cap: int = CAP, phonetic: bool = False) -> DataFrame:
+    """CAP is the small cap that the SQL is written with, and SQL has no phonetic key; what no SQL checks is given the operator's cap and that key."""
+    a, b = catalogue.sides(spark, sf_dir, phonetic)
     return pair_features(blocking.candidates(a, b, cap), a, b, fuzzy).withColumn("fold", fold_of(F.col("a_id")))
 
 
@@ -230,18 +230,18 @@ def pair_feature_jw(spark, sf_dir):
 
 @query("pair_features_fuzzy")
 def pair_features_fuzzy(spark, sf_dir):
-    return scored_pairs(spark, sf_dir, fuzzy=True, cap=blocking.CAP).withColumn("block_keys", F.array_join("block_keys", "|"))
+    return scored_pairs(spark, sf_dir, fuzzy=True, cap=blocking.CAP, phonetic=True).withColumn("block_keys", F.array_join("block_keys", "|"))
 
 
 @query("rules_fuzzy_decisions")
 def rules_fuzzy_decisions(spark, sf_dir):
-    pairs = methods.scored(scored_pairs(spark, sf_dir, fuzzy=True, cap=blocking.CAP), methods.rules_score())
+    pairs = methods.scored(scored_pairs(spark, sf_dir, fuzzy=True, cap=blocking.CAP, phonetic=True), methods.rules_score())
     return decide.decide(pairs, decide.Policy(0.65, 0.0756756772994995, 0.1)).withColumn("block_keys", F.array_join("block_keys", "|"))
 
 
 @query("learned_decisions")
 def learned_decisions(spark, sf_dir):
-    features = scored_pairs(spark, sf_dir, fuzzy=True, cap=blocking.CAP)
+    features = scored_pairs(spark, sf_dir, fuzzy=True, cap=blocking.CAP, phonetic=True)
     learned = methods.fit_learned(features, catalogue.links(spark, sf_dir), trees=10, least_leaf=5)
     return decide.decide(learned.score(features).select("a_id", "b_id", "fold", "block_keys", "score", "probability")).withColumn("block_keys", F.array_join("block_keys", "|"))
 
