@@ -340,3 +340,24 @@ def test_names_keep_one_surrogate_with_and_without_a_title(spark):
         assert named[2] == named[1][:1] and named[3] == named[1][1:]
         assert named[1][0].split()[0] in pii.GIVEN["m"] and named[1][1].split()[0] in pii.GIVEN["f"]
         assert len({*named[4], *named[5]}) == 3 and text[6] is None
+
+
+def test_packing_tries_every_number_of_a_length():
+    # an exact fit that uses a length neither once nor as often as it fits
+    for k in (3, 10, 1000):
+        counts, used = {2096: k, 450: 2 * k, 220: 5 * k}, {}
+        found = packing.plan(counts)
+        for pattern, times in found:
+            assert sum(x * n for x, n in pattern) <= packing.CAPACITY
+            for x, n in pattern:
+                used[x] = used.get(x, 0) + n * times
+        assert used == counts and sum(times for _, times in found) == k
+    ways, _ = packing.fillings(10, [2, 3, 5], {2: 5, 3: 3, 5: 2}, 1000, perfect_ends=False)
+    expected = set()
+    for a in range(3):
+        for b in range(4):
+            for c in range(6):
+                free = 10 - 5 * a - 3 * b - 2 * c
+                if free >= 0 and not any(free >= x and n for x, n in ((5, 2 - a), (3, 3 - b), (2, 5 - c))):
+                    expected.add(tuple((x, n) for x, n in ((5, a), (3, b), (2, c)) if n))
+    assert {w for _, w in ways} == expected

@@ -2,6 +2,7 @@
 
 Bin completion: around the largest piece left, the undominated fillings of the room beside it are enumerated; a branch is
 cut when the waste so far shows that it cannot beat the best solution known, and a best-fit solution is the first such.
+A quick search tries a few fillings of each sequence; only if it ends above the lower bound are all of them tried.
 
 The search needs the number of pieces of each length only, at most one count for each length up to the capacity, however
 many documents there are. Its result, a list of runs (length, first rank, first sequence, offset, number), is bounded by
@@ -34,6 +35,8 @@ from weftline.llm.common import SLICE, cut
 CAPACITY, END_ID = 4096, 1
 #: Fillings looked at for one sequence, and sequences planned in all before the best solution so far stands.
 FILLING_NODES, PLAN_NODES = 4000, 10_000
+#: Branches of fillings that the search beyond the quick plan looks at in all.
+PLAN_BRANCHES = 2_000_000
 #: Pieces of one length that a task ranks, about.
 RANKED_TOGETHER = 200_000
 
@@ -58,11 +61,10 @@ def token_pieces(docs: DataFrame, path: str, text_col: str = "text", id_col: str
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def fillings(room: int, lengths: list[int], left: dict[int, int], nodes: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
-    """Undominated ways to fill room with pieces that are left, least waste first, as (waste, ((length, number), ...)).
+def quick_fillings(room: int, lengths: list[int], left: dict[int, int], nodes: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+    """A few of the fillings() of room, found with few branches: of more than three of a length only some numbers are tried.
 
-    lengths: ascending. A filling is dominated if another piece still fits into its waste; a perfect one ends the search.
-    Of each length the most that fit are tried first, so the first leaf is the best-fit filling.
+    A perfect filling ends the search. The most that fit are tried first, so the first leaf is the best-fit filling.
     """
     found: list[tuple[int, tuple[tuple[int, int], ...]]] = []
     least = next((x for x in lengths if left[x]), None)
@@ -90,8 +92,8 @@ def fillings(room: int, lengths: list[int], left: dict[int, int], nodes: int) ->
     return sorted(found, key=lambda x: x[0])[:3] or [(room, ())]
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = PLAN_NODES) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Fillings of sequences and how often each is used, from the number of pieces of each length."""
+def quick_plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = PLAN_NODES) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """A first plan(), from a few fillings of each sequence, each used as often as it can be."""
     total = sum(length * n for length, n in counts.items())
     floor = max(-(-total // capacity), sum(n for length, n in counts.items() if 2 * length > capacity))
     best: list | None = None
@@ -109,7 +111,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = PLAN_NOD
         while lengths:
             largest = lengths[-1]
             left[largest] -= 1
-            ways = fillings(capacity - largest, lengths, left, FILLING_NODES)
+            ways = quick_fillings(capacity - largest, lengths, left, FILLING_NODES)
             left[largest] += 1
             steps += 1
             options = []
@@ -141,6 +143,122 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = PLAN_NOD
     return best or []
 
 
+def fillings(room: int, lengths: list[int], left: dict[int, int], nodes: int, perfect_ends: bool = True) -> tuple[list[tuple[int, tuple[tuple[int, int], ...]]], int]:
+    """Undominated ways to fill room with pieces that are left, least waste first, as (waste, ((length, number), ...)), and the branches looked at.
+
+    lengths: ascending. A filling is dominated if another piece still fits into its waste. Every number of each length is
+    tried, the most that fit first, so the first leaf is the best-fit filling; the search stops after nodes branches.
+    """
+    found: list[tuple[int, tuple[tuple[int, int], ...]]] = []
+
+    def below(free: int, at: int) -> int:
+        at = bisect.bisect_right(lengths, free, 0, at) - 1
+        while at >= 0 and not left[lengths[at]]:
+            at -= 1
+        return at
+
+    # (room, place of the length, its number or -1 for the most, the least length of which one more would fit, what is chosen)
+    stack: list[tuple[int, int, int, int, tuple[tuple[int, int], ...]]] = [(room, below(room, len(lengths)), -1, room + 1, ())]
+    steps = 0
+    while stack and steps < nodes:
+        steps += 1
+        free, at, n, bound, chosen = stack.pop()
+        if at < 0:
+            if free < bound:
+                found.append((free, chosen))
+                if perfect_ends and not free:
+                    break
+            continue
+        length = lengths[at]
+        most = min(left[length], free // length)
+        n = most if n < 0 else n
+        if n and below(length - 1, at) >= 0:  # fewer of the smallest piece are dominated
+            stack.append((free, at, n - 1, bound, chosen))
+        after = free - n * length
+        stack.append((after, below(after, at), -1, length if n < most else bound, (*chosen, (length, n)) if n else chosen))
+    return sorted(found, key=lambda x: x[0]) or [(room, ())], steps
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = PLAN_NODES, branches: int = PLAN_BRANCHES) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """Fillings of sequences and how often each is used, from the number of pieces of each length.
+
+    The quick plan stands if it is as short as can be; else all fillings and numbers of uses are searched for a shorter one.
+    """
+    total = sum(length * n for length, n in counts.items())
+    floor = max(-(-total // capacity), sum(n for length, n in counts.items() if 2 * length > capacity))
+    start = {length: n for length, n in counts.items() if n}
+    best = quick_plan(counts, capacity, nodes)
+    best_bins, steps = sum(times for _, times in best), 0
+
+    def remaining(used) -> dict[int, int]:
+        left = dict(start)
+        while used:
+            used, (pattern, times) = used
+            for x, k in pattern:
+                left[x] -= times * k
+        return {x: n for x, n in left.items() if n}
+
+    def ways(left: dict[int, int], lengths: list[int], every: bool):
+        """(filling with the largest piece left, the most it can be used) for the filling of least waste, or for every one."""
+        nonlocal branches
+        largest = lengths[-1]
+        left[largest] -= 1
+        found, looked_at = fillings(capacity - largest, lengths, left, FILLING_NODES, not every)
+        branches -= looked_at
+        left[largest] += 1
+        for _, chosen in found if every else found[:1]:
+            pattern = dict(chosen)
+            pattern[largest] = pattern.get(largest, 0) + 1
+            yield tuple(sorted(pattern.items(), reverse=True)), min(left[x] // k for x, k in pattern.items())
+
+    def others(used, first):
+        """What can be done instead of first: other fillings, then any of them fewer times."""
+        left = remaining(used)
+        every = list(ways(left, sorted(left), True))
+        yield from (way for way in every if way != first)
+        yield from ((pattern, times) for pattern, most in every for times in range(most - 1, 0, -1))
+
+    # [tokens left, sequences used, chain of the fillings used, the way taken there, an iterator over the others]; deepest first
+    stack: list[list] = []
+    tokens, bins, used = total, 0, None
+    while best_bins > floor:
+        left = remaining(used)
+        lengths = sorted(left)
+        while lengths and bins + -(-tokens // capacity) < best_bins and steps < nodes and branches > 0:
+            steps += 1
+            way = next(ways(left, lengths, False))
+            stack.append([tokens, bins, used, way, None])
+            pattern, times = way
+            used, bins = (used, way), bins + times
+            for x, k in pattern:
+                left[x] -= times * k
+                tokens -= times * k * x
+                if not left[x]:
+                    del left[x]
+                    lengths.pop(bisect.bisect_left(lengths, x))
+        if not lengths and bins < best_bins:
+            best, best_bins, chain = [], bins, used
+            while chain:
+                chain, way = chain
+                best.append(way)
+            best.reverse()
+        way = None
+        while stack and way is None and best_bins > floor and steps < nodes and branches > 0:
+            tokens, bins, used, first, rest = top = stack[-1]
+            if bins + -(-tokens // capacity) < best_bins:  # else the waste so far is as much as the best solution's
+                if rest is None:
+                    steps += 1
+                    rest = top[4] = others(used, first)
+                way = next(rest, None)
+            if way is None:
+                stack.pop()
+        if way is None:
+            break
+        pattern, times = way
+        used, bins, tokens = (used, way), bins + times, tokens - times * sum(x * k for x, k in pattern)
+    return best
+
+
 def runs(patterns: list[tuple[tuple[tuple[int, int], ...], int]]) -> np.ndarray:
     """Rows (length, first rank, first sequence, offset, number in a sequence), sorted: pieces of a length by their rank."""
     rows, rank, sequence = [], {}, 0
