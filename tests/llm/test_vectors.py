@@ -104,3 +104,24 @@ def test_sliced_sums_and_digits():
     slices, constant = block.scores(query)
     total = sum(block.flags(s).astype(int) << w for w, s in enumerate(slices)) + constant
     assert (total == values @ query).all()
+
+
+def test_large_finite_vectors_take_part(spark):
+    given = [(0, [2.0**17, 1.0]), (1, [2.0**17, -3.0]), (2, [1.0, 2.0**20]), (3, [-(2.0**17), 0.5]), (4, [0.25, -1.0]), (5, [float("inf"), 0.0])]
+    value = {i: [int(np.floor(1024 * x)) for x in v] for i, v in given[:5]}
+    expected = []
+    for i in value:
+        scored = sorted((-sum(x * y for x, y in zip(value[i], value[j], strict=True)), j) for j in value if j != i)
+        expected += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
+    out = topk.search(spark.createDataFrame(given, "vec_id long, embedding array<double>"), F.lit(True))
+    assert sorted(tuple(r) for r in out.select("query_id", "rank", "vec_id", "score").collect()) == sorted(expected)
+
+
+def test_only_scores_of_the_best_must_fit_a_long(spark):
+    far, vectors = 2.0**52, "vec_id long, embedding array<double>"
+    given = [(0, [far]), (1, [-far]), (2, [0.0]), (3, [0.0])]
+    out = topk.search(spark.createDataFrame(given, vectors), F.col("vec_id") == 0, k=2)
+    assert sorted(tuple(r) for r in out.collect()) == [(0, 1, 2, 0), (0, 2, 3, 0)]
+    for rows, k in ((given, 3), ([(0, [far]), (1, [far])], 1), ([(0, [2.0**60]), (1, [0.0])], 1)):
+        with pytest.raises(Exception, match="does not fit a long"):
+            topk.search(spark.createDataFrame(rows, vectors), F.col("vec_id") == 0, k=k).collect()

@@ -13,7 +13,7 @@ the work of a task is bounded by the sizes of a block and a batch.
 
 Defined results:
 - vectors null, empty, or with null or non-finite components take no part, nor do rows with a null id
-- vectors with a quantised component over LARGEST in absolute value take no part: their scores need not fit a long
+- a quantised component, or a score among the k best, that does not fit a long: OverflowError; other scores may be of any size
 - vectors of different length: the shorter one counts as padded with zeros
 - rows that share an id are one row; of different vectors the one whose bytes sort first counts
 - fewer than k candidates: all of them; a table without queries or without rows: no rows
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from weftline.llm.common import append_columns, cut
 
 SCALE, TOP = 1024, 10
-LARGEST = 2**26
 BLOCK_ROWS, BATCH_QUERIES = 16384, 64
 #: Query batches that one task scores on a block.
 BATCHES_TOGETHER = 4
@@ -41,9 +40,14 @@ def quantise(vector, scale: int = SCALE) -> bytes | None:
     """floor(scale * x) of each component as little-endian 64-bit integers, or None if the vector takes no part."""
     if not vector or any(x is None for x in vector):
         return None
+    given = np.array(vector, dtype=np.float64)
+    if not np.isfinite(given).all():
+        return None
     with np.errstate(over="ignore"):
-        x = np.floor(scale * np.array(vector, dtype=np.float64))
-    return x.astype("<i8").tobytes() if np.isfinite(x).all() and np.abs(x).max() <= LARGEST else None
+        x = np.floor(scale * given)
+    if x.min() < -(2.0**63) or x.max() >= 2.0**63:
+        raise OverflowError("a quantised component does not fit a long")
+    return x.astype("<i8").tobytes()
 
 
 def signed_digits(x: int) -> list[tuple[int, int]]:
@@ -69,13 +73,13 @@ class SlicedBlock:
         self.rows = len(ids)
         self.words = -(-self.rows // 64)
         self.low = values.min(axis=0)
-        shifted = values - self.low
+        shifted = values.astype(np.uint64) - self.low.astype(np.uint64)  # of any two longs, modulo 2**64
         self.bits = [int(v).bit_length() for v in shifted.max(axis=0)]
         self.slices = []
         for j, bits in enumerate(self.bits):
             own = np.zeros((bits, self.words), np.uint64)
             for s in range(bits):
-                own[s] = self.bitmap((shifted[:, j] >> s & 1).astype(bool))
+                own[s] = self.bitmap((shifted[:, j] >> np.uint64(s) & np.uint64(1)).astype(bool))
             self.slices.append(own)
         self.all = self.bitmap(np.ones(self.rows, bool))
 
@@ -150,6 +154,13 @@ class SlicedBlock:
         return found
 
 
+def as_long(score: int) -> int | None:
+    """The score, or None if it is too low for a long: it may not be among the best of all blocks. One too high always is."""
+    if score >= 2**63:
+        raise OverflowError("a score does not fit a long")
+    return score if score >= -(2**63) else None
+
+
 def padded(rows: list[bytes]) -> np.ndarray:
     out = np.zeros((len(rows), max(len(r) for r in rows) // 8), np.int64)
     for i, r in enumerate(rows):
@@ -189,10 +200,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = TOP, vec_col: str = "e
                 if row["kind"] == 0:
                     block = SlicedBlock(np.array(row["ids"], np.int64), padded(row["qs"]))
                     continue
-                found = [(query, *x) for query, q in zip(row["ids"], row["qs"], strict=True) for x in block.top(np.frombuffer(q, "<i8"), k, query)]
+                found = [(query, other, as_long(score)) for query, q in zip(row["ids"], row["qs"], strict=True) for other, score in block.top(np.frombuffer(q, "<i8"), k, query)]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
 
     best = met.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    kept = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)  # null, too low for a long, comes last
+    return kept.select("query_id", "rank", "vec_id", F.coalesce("score", F.raise_error(F.lit("a score does not fit a long")).cast("long")).alias("score"))
