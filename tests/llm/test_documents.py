@@ -361,3 +361,18 @@ def test_packing_tries_every_number_of_a_length():
                 if free >= 0 and not any(free >= x and n for x, n in ((5, 2 - a), (3, 3 - b), (2, 5 - c))):
                     expected.add(tuple((x, n) for x, n in ((5, a), (3, b), (2, c)) if n))
     assert {w for _, w in ways} == expected
+
+
+def test_further_mentions_of_a_name_get_its_surrogate(spark):
+    given = [(1, "Dr. Jane Miller called. Jane Miller left, JANE MILLER too; Jane Millerton did not. Mail Jane@x.org."), (2, "Jane Miller before Mrs Jane Miller"), (3, "Jane Miller alone"), (4, "Mr Robin Holt, Mrs Robin Holt, Robin Holt"), (5, "Herr Will spoke. I will. Will agrees.")]
+    frame = spark.createDataFrame(given, "doc_id long, text string")
+    for listed in (pii.LISTED, 0):
+        out = {r["doc_id"]: r for r in pii.replace(frame, b"k", listed=listed).collect()}
+        text = {i: r["text"] for i, r in out.items()}
+        name = text[2].partition(" before Mrs ")[0]
+        assert text[2] == f"{name} before Mrs {name}" and "Miller" not in name
+        assert text[1].startswith(f"Dr. {name} called. {name} left, {name.upper()} too; Jane Millerton did not. Mail ")
+        assert text[3] == given[2][1] and out[1]["n_entities"] == 4
+        assert len(set(re.fullmatch("Mr (.+), Mrs (.+), (.+)", text[4]).groups())) == 3 and "Robin Holt" not in text[4]
+        will = text[5].split()[1]
+        assert text[5] == f"Herr {will} spoke. I will. {will} agrees."

@@ -1,7 +1,8 @@
 """Surrogates for personal data: each detected entity gets a keyed replacement of its own type, gender, script and format.
 
 Entities are found in whole texts: e-mail addresses, IPv4 addresses, phone numbers, payment card numbers, IBANs, US social
-security numbers, and names of people after a title or a phrase that introduces one. A surrogate keeps what can be seen of
+security numbers, and names of people after a title or a phrase that introduces one, with all further whole-word
+occurrences of the same name in that text. A surrogate keeps what can be seen of
 the format: separators, lengths, upper and lower case, script, a title's gender, an address's reserved domain.
 
 The same entity, written in any of its forms, gets the same surrogate in every document (coreference); different entities
@@ -23,6 +24,7 @@ Defined results:
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import hmac
 import re
@@ -121,7 +123,32 @@ def detect(text: str | None) -> list[Entity]:
             last = start - size
             gender = f"{'f' if title in FEMALE else 'm' if title in MALE else 'n'}:" if kind == "name" else ""
             entities.append(Entity(start, last, kind, held, gender + canonical(kind, held)))
-    return entities
+    return sorted(entities + mentions(text, entities), key=lambda e: e.start)
+
+
+def mentions(text: str, entities: list[Entity]) -> list[Entity]:
+    """Further whole-word occurrences of the names found in a text, longer names first, none overlapping an entity.
+
+    Where the text has the name with one gender only, they are that person; else they are the name without a title.
+    """
+    persons: dict[str, set[str]] = {}
+    for e in entities:
+        if e.kind == "name":
+            persons.setdefault(e.canonical[2:], set()).add(e.canonical)
+    if not persons:
+        return []
+    taken = sorted((e.start, e.end) for e in entities)
+    starts = [start for start, _ in taken]
+    pattern = re.compile(rf"(?<!\w)(?:{'|'.join(re.escape(x) for x in sorted({e.text for e in entities if e.kind == 'name'}, key=lambda x: (-len(x), x)))})(?!\w)", re.IGNORECASE)
+    found = []
+    for m in pattern.finditer(text):
+        at = bisect.bisect_left(starts, m.end())
+        if not m[0][0].isupper() or at and taken[at - 1][1] > m.start():
+            continue
+        bare = canonical("name", m[0])
+        held = persons.get(bare, set())
+        found.append(Entity(m.start(), m.end(), "name", m[0], next(iter(held)) if len(held) == 1 else f"n:{bare}"))
+    return found
 
 
 class Stream:
