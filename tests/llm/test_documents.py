@@ -376,3 +376,10 @@ def test_further_mentions_of_a_name_get_its_surrogate(spark):
         assert len(set(re.fullmatch("Mr (.+), Mrs (.+), (.+)", text[4]).groups())) == 3 and "Robin Holt" not in text[4]
         will = text[5].split()[1]
         assert text[5] == f"Herr {will} spoke. I will. {will} agrees."
+
+
+def test_every_sampled_document_is_in_its_dictionary(spark):
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)} " * (1000 if i % 4 else 2), "en") for i in range(64)]
+    held = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True)).dictionaries["en"]
+    assert langid.DICTIONARY_BYTES - 64 <= len(held) <= langid.DICTIONARY_BYTES
+    assert all(langid.normalise(text.split()[0]) in held for _, text, _ in rows)

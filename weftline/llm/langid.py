@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from weftline.llm.common import append_columns, sample_by_hash
 
 UNKNOWN = "und"
-#: Documents of a language that its dictionary is taken from, and the most bytes that one of them gives.
-SAMPLE_DOCUMENTS, BYTES_OF_DOCUMENT = 64, 2048
+#: Documents of a language that its dictionary is taken from, and the bytes that they share evenly.
+SAMPLE_DOCUMENTS = 64
 DICTIONARY_BYTES = 32768
 #: Texts are encoded in blocks, so that a dictionary counts at the end of a long text as much as at its start.
 BLOCK_BYTES = 4096
@@ -82,6 +82,15 @@ class LanguageModel:
         return classify
 
 
+def shared_evenly(texts: list[bytes], room: int) -> bytes:
+    """The texts in their order, a line each, cut so that all fit: each gets an even share, and what short ones leave goes to the others."""
+    shares = [0] * len(texts)
+    for done, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        shares[i] = min(len(texts[i]) + 1, room // (len(texts) - done))
+        room -= shares[i]
+    return b"".join((text[: share - 1] + b"\n") for text, share in zip(texts, shares, strict=True) if share)
+
+
 def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_documents: int = SAMPLE_DOCUMENTS, dictionary_bytes: int = DICTIONARY_BYTES) -> LanguageModel:
     """Dictionaries from a bounded sample: sample_documents documents of each language among the usable rows.
 
@@ -90,12 +99,11 @@ def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str
     labelled = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     ids = [r[0] for r in sample_by_hash(labelled.select(id_col, lang_col), id_col, lang_col, sample_documents).select(id_col).collect()]
     rows = labelled.filter(F.col(id_col).isin(ids)).select(id_col, lang_col, text_col).collect() if ids else []
-    content: dict[str, bytearray] = {}
+    texts: dict[str, list[bytes]] = {}
     for _, lang, text in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
-        held = content.setdefault(lang, bytearray())
-        if len(held) < dictionary_bytes:
-            held += normalise(text)[:BYTES_OF_DOCUMENT] + b"\n"
-    return LanguageModel({lang: bytes(x[:dictionary_bytes]) for lang, x in content.items() if len(x) >= 8})
+        texts.setdefault(lang, []).append(normalise(text))
+    content = {lang: shared_evenly(own, dictionary_bytes) for lang, own in texts.items()}
+    return LanguageModel({lang: x for lang, x in content.items() if len(x) >= 8})
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
