@@ -32,3 +32,21 @@ def test_fuzzy_features_have_the_phonetic_candidates(spark):
     found = {(r["a_id"], r["b_id"]): r["block_keys"] for r in QUERIES["pair_features_fuzzy"](spark, SMALL).select("a_id", "b_id", "block_keys").collect()}
     assert set(found) == brute_force(spark, True, blocking.CAP)
     assert "k_phonetic" in found.values()  # shared by nothing else
+
+
+def test_the_learned_method_has_the_references_size(spark, monkeypatch):
+    from weftline.plans import queries
+
+    class Seen(Exception):
+        pass
+
+    def fit(features, truth, **sizes):
+        raise Seen(sizes)
+
+    monkeypatch.setattr(queries.methods, "fit_learned", fit)
+    try:
+        QUERIES["learned_decisions"](spark, SMALL)
+    except Seen as seen:
+        assert seen.args[0] == {"trees": 300, "least_leaf": 50}
+    else:
+        raise AssertionError("the learned method was not fitted")

@@ -20,6 +20,8 @@ from weftline.sources.catalogue import table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 LAST_YEAR = 2027
+#: The reference's number of trees of the learned method and the fewest pairs in a leaf.
+REFERENCE_TREES, REFERENCE_LEAF = 300, 50
 SWEPT = (0.55, 0.65, 0.8, 0.9, 0.95, 1.0)
 FLOORS = (0.05, 0.2, 0.35, 0.5, 0.8)
 LONG_METRICS = ("decided", "accepted", "queued", "demoted")
@@ -242,7 +244,7 @@ def rules_fuzzy_decisions(spark, sf_dir):
 @query("learned_decisions")
 def learned_decisions(spark, sf_dir):
     features = scored_pairs(spark, sf_dir, fuzzy=True, cap=blocking.CAP, phonetic=True)
-    learned = methods.fit_learned(features, catalogue.links(spark, sf_dir), trees=10, least_leaf=5)
+    learned = methods.fit_learned(features, catalogue.links(spark, sf_dir), trees=REFERENCE_TREES, least_leaf=REFERENCE_LEAF)
     return decide.decide(learned.score(features).select("a_id", "b_id", "fold", "block_keys", "score", "probability")).withColumn("block_keys", F.array_join("block_keys", "|"))
 
 
