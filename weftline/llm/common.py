@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -37,10 +38,16 @@ def held_out(doc_id: str | Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session, which all executors see. Only where it is unset (local tests) one is made."""
+    """The checkpoint folder of the session, which all executors see.
+
+    Only a local session, whose executors are threads of the driver, is given a folder of its own where none is set.
+    """
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if not place and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
+        context.setCheckpointDir(place or tempfile.mkdtemp(prefix="weftline-"))
     return context.getCheckpointDir()
 
 
@@ -54,6 +61,17 @@ def ddl(fields: list[tuple[str, str]]) -> str:
     return ", ".join(f"`{name}` {kind}" for name, kind in fields)
 
 
+def fresh(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores after it as set it apart from the taken names and from one another."""
+    held, found = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        found.append(name)
+    return found
+
+
 def append_columns(df: DataFrame, inputs: list[str], outputs: list[tuple[str, str]], make: Callable[[], Callable], keep: list[str] | None = None) -> DataFrame:
     """Add columns that a Python function computes batch by batch.
 
@@ -61,9 +79,9 @@ def append_columns(df: DataFrame, inputs: list[str], outputs: list[tuple[str, st
     A column of df with the name of an output is replaced. keep: the columns of df to carry along (all by default).
     """
     names = [name for name, _ in outputs]
-    carried = [c for c in (df.columns if keep is None else keep) if c not in names]
+    carried = [c for c in (df.columns if keep is None else keep) if c.lower() not in {n.lower() for n in names}]
     # inputs that are not carried along travel under names of their own
-    source = df.select(*[F.col(f"`{c}`") for c in carried], *[F.col(f"`{c}`").alias(f"_in_{i}") for i, c in enumerate(inputs)])
+    source = df.select(*[F.col(f"`{c}`") for c in carried], *[F.col(f"`{c}`").alias(a) for c, a in zip(inputs, fresh(carried, *[f"_in_{i}" for i in range(len(inputs))]), strict=True)])
     schema = ddl([(c, df.schema[c].dataType.simpleString()) for c in carried] + outputs)
     kinds, n_carried, n_in = [ARROW_TYPES[kind] for _, kind in outputs], len(carried), len(inputs)
 
@@ -93,5 +111,25 @@ def sample_by_hash(df: DataFrame, key: str, group: str, per_group: int) -> DataF
     hashed = F.xxhash64(F.col(key).cast("string"))
     share = F.create_map(*[F.lit(x) for name, n in sizes for x in (name, min(1.0, 4.0 * max(per_group, 16) / n))])
     near = df.filter(hashed.cast("double") / 2.0**64 + 0.5 <= share[F.col(group)])
-    order = Window.partitionBy(group).orderBy(hashed, F.col(key))
-    return near.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= per_group).drop("_rank")
+    order, rank = Window.partitionBy(group).orderBy(hashed, F.col(key)), fresh(df.columns, "_rank")[0]
+    return near.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) <= per_group).drop(rank)
+
+
+#: Keys of most rows that a look-up sends to every executor; each other key holds at most a rank-th of the rows.
+HOT_KEYS = 1000
+
+
+def look_up(rows: DataFrame, found: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+    """rows joined with found, which has one row for each value of keys and how many rows share it in the column size.
+
+    A key that a large part of all rows share would be one task of a shuffled join, and the adaptive split of skewed joins
+    does not act on a side that is an aggregation. So the HOT_KEYS keys of largest size, a bounded number, are sent to the
+    executors and their rows stay where they are; the rows of every other key, of which none holds more than 1 / HOT_KEYS
+    of the rows counted, are shuffled. how: inner or left. size is dropped.
+    """
+    flag = fresh([*rows.columns, *found.columns], "_hot")[0]
+    # a total order: both uses of the aggregation must name the same keys
+    hot = found.orderBy(F.desc(size), *keys).limit(HOT_KEYS).drop(size).withColumn(flag, F.lit(True))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    far = marked.filter(F.col(flag).isNull()).select(*rows.columns).join(found.drop(size), keys, how)
+    return marked.filter(flag).drop(flag).unionByName(far)
