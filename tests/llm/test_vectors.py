@@ -71,21 +71,23 @@ def test_estimates_are_unbiased_and_bounded():
     assert abs(np.mean(errors)) < 0.06 and np.abs(errors).max() < 4 * 0.2
 
 
-@pytest.mark.parametrize("sizes", [(16384, 64, 4), (16, 2, 1)])
+@pytest.mark.parametrize("sizes", [(16384, 64, 4096), (16, 2, 2)])
 def test_top_rows_against_brute_force(spark, vectors, given, sizes):
-    rows = {}
-    for i, v in given:
-        if i is not None and v and None not in v and np.isfinite(v).all():
-            q = topk.quantise(v)
-            rows[i] = min(rows.get(i, q), q)
-    value = {i: [int(x) for x in np.frombuffer(q, "<i8")] for i, q in rows.items()}
+    rows = [(i, [int(x) for x in np.frombuffer(topk.quantise(v), "<i8")]) for i, v in given if i is not None and v and None not in v and np.isfinite(v).all()]
     expected = []
-    for i in value:
-        if i % 10 == 0:
-            scored = sorted(((-sum(x * y for x, y in zip(value[i], value[j], strict=False)), j) for j in value if j != i))[:10]
+    for n, (i, x) in enumerate(rows):
+        if i % 10 == 0 or i == 7:
+            scored = sorted((-sum(a * b for a, b in zip(x, y, strict=False)), j) for m, (j, y) in enumerate(rows) if m != n)[:10]
             expected += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
-    out = topk.search(vectors, F.col("vec_id") % 10 == 0, block_rows=sizes[0], batch_queries=sizes[1], batches_together=sizes[2])
+    out = topk.search(vectors, (F.col("vec_id") % 10 == 0) | (F.col("vec_id") == 7), block_rows=sizes[0], batch_queries=sizes[1], share_queries=sizes[2])
     assert sorted(tuple(r) for r in out.select("query_id", "rank", "vec_id", "score").collect()) == sorted(expected)
+    assert sum(e[0] == 7 for e in expected) == 20  # two rows of one id are two queries, and candidates of each other
+
+
+def test_every_finite_row_is_a_candidate(spark):
+    given = [(0, [1.0, 0.0]), (1, [1e6, 0.0]), (2, [2.0, 0.0]), (2, [3.0, 0.0]), (3, [0.5, 0.0])]
+    out = topk.search(spark.createDataFrame(given, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=4)
+    assert [tuple(r)[1:] for r in out.orderBy("rank").collect()] == [(1, 1, 1024 * 1024 * 10**6), (2, 2, 3 * 1024**2), (3, 2, 2 * 1024**2), (4, 3, 512 * 1024)]
 
 
 def test_ties_go_to_the_smaller_id(spark):
@@ -94,6 +96,51 @@ def test_ties_go_to_the_smaller_id(spark):
     assert [r["vec_id"] for r in out.orderBy("rank").collect()] == [1, 5, 7, 9, 11]
 
 
+def test_recall_at_the_threshold(spark):
+    """At the default recall, of at least ten thousand pairs just above the threshold at least 0.9 are linked, and none below it."""
+    rng = np.random.default_rng(7)
+    n, dim = 11_000, 64
+    a = rng.standard_normal((n, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    side = rng.standard_normal((n, dim))
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = np.where(np.arange(n) < 10_000, 0.9501, 0.9499)[:, None]
+    b = cos * a + np.sqrt(1 - cos**2) * side
+    rows = [(2 * i + k, v.tolist()) for i in range(n) for k, v in enumerate((a[i], b[i]))]
+    out = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).filter("n_links > 0").collect()
+    linked = {r["vec_id"] // 2 for r in out}
+    assert all(r["n_links"] == 1 and r["component_id"] == r["vec_id"] // 2 * 2 for r in out)
+    assert len([i for i in linked if i < 10_000]) >= 9_000 and not [i for i in linked if i >= 10_000]
+
+
+def test_a_large_group_is_compared_in_blocks(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(16)
+    rows = [(i, (centre + 0.02 * rng.standard_normal(16)).tolist()) for i in range(300)] + [(1000 + i, rng.standard_normal(16).tolist()) for i in range(50)]
+    out = {r["vec_id"]: r for r in embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), recall=0.999, block=32).collect()}
+    assert all(out[i]["component_id"] == 0 and out[i]["n_links"] == 299 for i in range(300))
+
+
+def test_sketches_bound_the_estimate():
+    """No pair at the threshold or above is passed over: four deviations, and the rounding of a coordinate to a byte."""
+    rng = np.random.default_rng(9)
+    rot, known = embed_dedup.Rotations(64, 8, 7), {}
+    unit = np.stack([embed_dedup.unit_vector(v) for v in rng.standard_normal((300, 64))])
+    other = np.stack([embed_dedup.unit_vector(v) for v in unit + 0.3 * rng.standard_normal((300, 64)) / 8])
+    sketches = []
+    for x in (unit, other):
+        turned = rot.rotated(x)
+        step = np.abs(turned[:, 0]).max(axis=1) / 127
+        heads = np.concatenate([step[:, None], np.abs(turned).sum(axis=2) / 8], axis=1).astype("<f4")
+        held = [(64).to_bytes(4, "little") + h.tobytes() + np.rint(t / s).astype(np.int8).tobytes() for h, t, s in zip(heads, turned[:, 0], step, strict=True)]
+        sketches.append(embed_dedup.Sketches([np.packbits(t.reshape(-1) > 0).tobytes() for t in turned], held, 8, 7, known))
+    a, b = sketches
+    assert np.abs(a.turned - rot.rotated(unit)).max() < 0.02
+    may, cos = embed_dedup.may_link(a, b, 0.95) & embed_dedup.may_link(b, a, 0.95).T, unit @ other.T
+    assert (cos.diagonal() >= 0.93).mean() > 0.9 and may[cos >= 0.95].mean() > 0.999 and may[cos < 0.3].mean() < 0.01
+
+
 def test_sliced_sums_and_digits():
     rng = random.Random(3)
     for x in [0, 1, -1, 7, -7, 1023, *(rng.randint(-5000, 5000) for _ in range(200))]:

@@ -9,13 +9,16 @@ downward; rows that are still equal after the last slice are resolved by the sma
 query at most, and the best k of all blocks remain.
 
 Queries are dealt into batches; a task gets a block and after it a bounded share of the batches, so nothing is broadcast and
-the work of a task is bounded by the sizes of a block and a batch.
+the work of a task is bounded by the sizes of a block and of a share. A block crosses the wire once for each share of the
+batches and a batch once for each block, so a row that is sent is worth BLOCK_ROWS or SHARE_QUERIES scores: what is shuffled
+stays that much smaller than the scores to be found, and is linear in the rows up to SHARE_QUERIES queries.
 
 Defined results:
 - vectors null, empty, or with null or non-finite components take no part, nor do rows with a null id
 - a quantised component, or a score among the k best, that does not fit a long: OverflowError; other scores may be of any size
 - vectors of different length: the shorter one counts as padded with zeros
-- rows that share an id are one row; of different vectors the one whose bytes sort first counts
+- rows that share an id are different rows: each is a candidate of the others and, as a query, gets its own k rows
+- columns of the input beside the id and the vector, whatever their names, are not looked at
 - fewer than k candidates: all of them; a table without queries or without rows: no rows
 """
 
@@ -31,9 +34,8 @@ from pyspark.sql import functions as F
 from weftline.llm.common import append_columns, cut
 
 SCALE, TOP = 1024, 10
-BLOCK_ROWS, BATCH_QUERIES = 16384, 64
-#: Query batches that one task scores on a block.
-BATCHES_TOGETHER = 4
+#: Rows of a block at most, and of one that is made smaller so that all cores have a block; queries of a batch and of a task.
+BLOCK_ROWS, SMALL_BLOCK, BATCH_QUERIES, SHARE_QUERIES = 16384, 2048, 64, 4096
 
 
 def quantise(vector, scale: int = SCALE) -> bytes | None:
@@ -64,12 +66,14 @@ def signed_digits(x: int) -> list[tuple[int, int]]:
 
 
 class SlicedBlock:
-    """Bitmaps of one block's values. Rows stand in the order of their ids."""
-
-    def __init__(self, ids: np.ndarray, values: np.ndarray):
-        """values: (rows, components) whole numbers"""
-        order = np.argsort(ids, kind="stable")
-        self.ids, values = ids[order], values[order]
+    """Bitmaps of one block's values. Rows stand in the order of their ids, those of one id in that of their numbers."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray, numbers: np.ndarray | None = None):
+        """values: (rows, components) whole numbers; numbers tell rows apart (the ids by default)"""
+        numbers = ids if numbers is None else numbers
+        order = np.lexsort((numbers, ids))
+        self.ids, values, self.numbers = ids[order], values[order], numbers[order]
+        self.by_number = np.argsort(self.numbers)
         self.rows = len(ids)
         self.words = -(-self.rows // 64)
         self.low = values.min(axis=0)
@@ -126,13 +130,14 @@ class SlicedBlock:
             weight += 1
         return result, constant
 
-    def top(self, query: np.ndarray, k: int, not_id: int | None) -> list[tuple[int, int]]:
-        """The k rows of highest score as (id, score), ties to the smaller id."""
+    def top(self, query: np.ndarray, k: int, own: int | None) -> list[tuple[int, int, int]]:
+        """The k rows of highest score but the one numbered own as (id, number, score), ties to the smaller id."""
         slices, constant = self.scores(query)
         sure, open_ = np.zeros(self.words, np.uint64), self.all
-        if not_id is not None:
-            at = int(np.searchsorted(self.ids, not_id))
-            if at < self.rows and self.ids[at] == not_id:
+        if own is not None:
+            at = int(np.searchsorted(self.numbers, own, sorter=self.by_number))
+            at = int(self.by_number[at]) if at < self.rows else at
+            if at < self.rows and self.numbers[at] == own:
                 open_ = open_.copy()
                 open_[at // 64] &= ~(np.uint64(1) << np.uint64(at % 64))
         n_sure = 0
@@ -150,7 +155,7 @@ class SlicedBlock:
         found = []
         for i in at.tolist():
             word, bit = i // 64, np.uint64(i % 64)
-            found.append((int(self.ids[i]), constant + sum(int(s[word] >> bit & np.uint64(1)) << w for w, s in enumerate(slices))))
+            found.append((int(self.ids[i]), int(self.numbers[i]), constant + sum(int(s[word] >> bit & np.uint64(1)) << w for w, s in enumerate(slices))))
         return found
 
 
@@ -169,28 +174,32 @@ def padded(rows: list[bytes]) -> np.ndarray:
 
 
 def quantised(vectors: DataFrame, vec_col: str, id_col: str, scale: int) -> DataFrame:
-    """(vec_id, q), one row for each id."""
-    source = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("_vec")).filter("vec_id is not null")
-    rows = append_columns(source, ["_vec"], [("q", "binary")], lambda: lambda found: ([quantise(v, scale) for v in found],), ["vec_id"])
-    return rows.filter("q is not null").groupBy("vec_id").agg(F.min("q").alias("q"))
+    """(vec_id, q), a row for each row that takes part."""
+    source = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vec_col}`").alias("_vec")).filter("vec_id is not null")
+    return append_columns(source, ["_vec"], [("q", "binary")], lambda: lambda found: ([quantise(v, scale) for v in found],), ["vec_id"]).filter("q is not null")
 
 
 def gathered(rows: DataFrame, parts: int, name: str) -> DataFrame:
-    """(name, ids, qs): rows dealt into parts of about equal size by the hash of the id."""
-    return rows.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias(name)).agg(F.collect_list("vec_id").alias("ids"), F.collect_list("q").alias("qs"))
+    """(name, ids, numbers, qs): rows dealt into parts of about equal size by the hash of their number."""
+    rows = rows.groupBy(F.pmod(F.xxhash64("number"), F.lit(parts)).cast("int").alias(name)).agg(F.collect_list(F.struct("vec_id", "number", "q")).alias("r"))
+    return rows.select(name, F.col("r.vec_id").alias("ids"), F.col("r.number").alias("numbers"), F.col("r.q").alias("qs"))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = TOP, vec_col: str = "embedding", id_col: str = "vec_id", scale: int = SCALE, block_rows: int = BLOCK_ROWS, batch_queries: int = BATCH_QUERIES, batches_together: int = BATCHES_TOGETHER) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = TOP, vec_col: str = "embedding", id_col: str = "vec_id", scale: int = SCALE, block_rows: int = BLOCK_ROWS, batch_queries: int = BATCH_QUERIES, share_queries: int = SHARE_QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that is_query (a condition on vec_id) holds for, the k best other rows."""
-    rows = cut(quantised(vectors, vec_col, id_col, scale))
+    # the numbers follow from the places of the rows in the files that are written here
+    rows = cut(quantised(vectors, vec_col, id_col, scale)).withColumn("number", F.monotonically_increasing_id())
     queries = rows.filter(is_query)
     n, n_queries = rows.count(), queries.count()
-    blocks, batches = max(1, -(-n // block_rows)), max(1, -(-n_queries // batch_queries))
-    shares = -(-batches // batches_together)
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    blocks, batches = max(1, -(-n // block_rows), min(cores, n // min(SMALL_BLOCK, block_rows))), max(1, -(-n_queries // batch_queries))
+    shares = -(-n_queries // share_queries) or 1
     # a block comes first and its query batches after it: the block crosses the wire once for each share of the batches
-    own = gathered(rows, blocks, "block").select("block", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(0).alias("kind"), "ids", "qs")
-    batched = gathered(queries, batches, "batch").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod("batch", F.lit(shares)).alias("share"), F.lit(1).alias("kind"), "ids", "qs")
-    met = own.unionByName(batched).repartition("block", "share").sortWithinPartitions("block", "share", "kind")
+    own = gathered(rows, blocks, "block").select("block", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"), F.lit(0).alias("kind"), "ids", "numbers", "qs")
+    batched = gathered(queries, batches, "batch").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod("batch", F.lit(shares)).alias("share"), F.lit(1).alias("kind"), "ids", "numbers", "qs")
+    # more partitions than tasks, so that few of these share one
+    met = own.unionByName(batched).repartition(min(4 * blocks * shares, 100_000), "block", "share").sortWithinPartitions("block", "share", "kind")
+    names = ["query_id", "query", "vec_id", "number", "score"]
 
     def run(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = None
@@ -198,13 +207,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = TOP, vec_col: str = "e
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 if row["kind"] == 0:
-                    block = SlicedBlock(np.array(row["ids"], np.int64), padded(row["qs"]))
+                    block = SlicedBlock(np.array(row["ids"], np.int64), padded(row["qs"]), np.array(row["numbers"], np.int64))
                     continue
-                found = [(query, other, as_long(score)) for query, q in zip(row["ids"], row["qs"], strict=True) for other, score in block.top(np.frombuffer(q, "<i8"), k, query)]
+                found = [(query, own, other, number, as_long(score)) for query, own, q in zip(row["ids"], row["numbers"], row["qs"], strict=True) for other, number, score in block.top(np.frombuffer(q, "<i8"), k, own)]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=names)
 
-    best = met.mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = met.mapInArrow(run, ", ".join(f"{name} long" for name in names))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "number")
     kept = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)  # null, too low for a long, comes last
     return kept.select("query_id", "rank", "vec_id", F.coalesce("score", F.raise_error(F.lit("a score does not fit a long")).cast("long")).alias("score"))
