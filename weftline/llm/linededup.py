@@ -4,14 +4,19 @@ Lines are exploded, normalised and hashed; documents are counted for each hash;
 are dropped everywhere but in the document with the smallest id; the others are put together again by position.
 
 A line's key is the line without the ASCII white space at both ends, with A-Z lower-cased. Keys are compared by a 128-bit
-hash. Texts meet the list of hashes to drop by document id, so no step holds more than one document's lines.
+hash. Exploded lines are hashes and positions, written once to the shared folder; texts cross the wire once, to meet the
+positions that they lose, and no step holds more than one document's lines. Documents of a hash are counted from distinct
+pairs, and the hashes of most documents are looked up without a shuffle, so a line that very many documents share is
+nobody's large task.
 
 Defined results:
 - text null or empty: one empty line, kept
 - a document whose lines are all dropped: an empty text
 - rows with a null id take no part: they are returned with all lines
 - rows that share an id are one document; they lose the same lines
-- columns of the input named like an output column are replaced; all others are carried along
+- a text of any length is one row; its lines are held by one task
+- an empty table: no rows
+- columns of the input named like an output column are replaced; all others are carried along, whatever their names
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import SLICE, append_columns
+from weftline.llm.common import SLICE, append_columns, cut, fresh, look_up
 
 MIN_CODE_POINTS, MIN_DOCUMENTS = 10, 2
 SPACE = b" \t\n\v\f\r"
@@ -41,49 +46,52 @@ def line_keys(text: str | None, min_code_points: int) -> list[bytes | None]:
     return found
 
 
-def hashed_lines(docs: DataFrame, text_col: str, id_col: str, min_code_points: int) -> DataFrame:
-    """One row (key, doc) for each document row and distinct key in it."""
+def exploded_lines(docs: DataFrame, min_code_points: int) -> DataFrame:
+    """(key, doc, print, pos) of each line that counts, of docs (doc, print, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                part, keys, ids = batch.slice(at, SLICE), [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    own = {k for k in line_keys(text, min_code_points) if k}
-                    keys += own
+                part, keys, ids, prints, places = batch.slice(at, SLICE), [], [], [], []
+                for doc, print_, text in zip(*[c.to_pylist() for c in part.columns], strict=True):
+                    own = [(k, i) for i, k in enumerate(line_keys(text, min_code_points)) if k]
+                    keys += [k for k, _ in own]
+                    places += [i for _, i in own]
                     ids += [doc] * len(own)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], names=["key", "doc"])
+                    prints += [print_] * len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(prints, pa.int64()), pa.array(places, pa.int32())], names=["key", "doc", "print", "pos"])
 
-    return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).filter("_id is not null").mapInArrow(run, "key binary, doc long")
+    return docs.mapInArrow(run, "key binary, doc long, print long, pos int")
 
 
 def dedup_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_code_points: int = MIN_CODE_POINTS, min_documents: int = MIN_DOCUMENTS, keep: list[str] | None = None, digest_only: bool = False) -> DataFrame:
     """Add n_lines, n_dropped and kept_text (with digest_only kept_sha256 instead)."""
-    lines = hashed_lines(docs, text_col, id_col, min_code_points)
-    if min_documents <= 2:
-        # two documents or more: the smallest and the largest id differ
-        shared = lines.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("_last")).filter(F.col("first") < F.col("_last") if min_documents == 2 else F.lit(True))
-    else:
-        shared = lines.groupBy("key", "doc").agg(F.lit(1).alias("one")).groupBy("key").agg(F.min("doc").alias("first"), F.count("one").alias("_n")).filter(F.col("_n") >= min_documents)
-    lost = lines.join(shared.select("key", "first"), "key").filter("doc > first").groupBy("doc").agg(F.collect_set("key").alias("_lost"))
-    carried = [c for c in (docs.columns if keep is None else keep)]
-    joined = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text_col}`").alias("_text"), F.col(f"`{id_col}`").cast("long").alias("_id")).join(lost, F.col("_id") == F.col("doc"), "left")
+    carried = docs.columns if keep is None else keep
+    text, doc, print_, gone = fresh(carried, "_text", "_doc", "_print", "_lost")
+    own_text, own_id = F.col(f"`{text_col}`"), F.col(f"`{id_col}`").cast("long")
+    rows = docs.select(*[F.col(f"`{c}`") for c in carried], own_text.alias(text), own_id.alias(doc), F.xxhash64(own_text).alias(print_))
+    # rows that share an id are told apart by their texts
+    lines = cut(exploded_lines(rows.filter(F.col(doc).isNotNull()).select(doc, print_, text), min_code_points))
+    documents = lines.groupBy("key", "doc").agg(F.count(F.lit(1)).alias("rows"))
+    shared = documents.groupBy("key").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("documents"), F.sum("rows").alias("rows")).filter(F.col("documents") >= min_documents).drop("documents")
+    lost = look_up(lines, shared, ["key"], "rows").filter("doc > first")
+    lost = lost.groupBy(F.col("doc").alias(doc), F.col("print").alias(print_)).agg(F.collect_set("pos").alias(gone))
+    # rows that lose nothing and have a null id, which would all meet in one task, stay out of the join
+    joined = rows.filter(F.col(doc).isNotNull()).join(lost, [doc, print_], "left").select(*[F.col(f"`{c}`") for c in carried], text, gone)
+    without = rows.filter(F.col(doc).isNull()).select(*[F.col(f"`{c}`") for c in carried], text, F.lit(None).cast("array<int>").alias(gone))
 
     def make():
         def work(texts, lost):
             n, dropped, kept = [], [], []
-            for text, gone in zip(texts, lost, strict=True):
-                rows = (text or "").split("\n")
-                left = rows
-                if gone:
-                    gone = set(gone)
-                    left = [line for line, key in zip(rows, line_keys(text, min_code_points), strict=True) if key not in gone]
-                n.append(len(rows))
-                dropped.append(len(rows) - len(left))
-                out = "\n".join(left)
+            for text, places in zip(texts, lost, strict=True):
+                lines = (text or "").split("\n")
+                away = set(places or ())
+                out = "\n".join([line for i, line in enumerate(lines) if i not in away]) if away else text or ""
+                n.append(len(lines))
+                dropped.append(len(away))
                 kept.append(hashlib.sha256(out.encode()).hexdigest() if digest_only else out)
             return n, dropped, kept
 
         return work
 
-    return append_columns(joined, ["_text", "_lost"], [("n_lines", "long"), ("n_dropped", "long"), ("kept_sha256" if digest_only else "kept_text", "string")], make, carried)
+    return append_columns(joined.unionByName(without), [text, gone], [("n_lines", "long"), ("n_dropped", "long"), ("kept_sha256" if digest_only else "kept_text", "string")], make, carried)
