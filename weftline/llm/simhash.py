@@ -7,17 +7,20 @@ three bits are linked.
 Links are found by an embedding: a fingerprint's bit counts in 32 segments of two bits. The Manhattan distance of two
 such vectors is a lower bound of the bits they differ in. The segments are dealt into six groups; of a distance of up to
 three at least three groups keep a distance of zero, so the range join becomes equality on the grid cells of three of the
-six groups, in all twenty choices. In a cell the bound is tested first (bit counts in unary, so it is one popcount), then
-the fingerprints themselves. A cell's rows are compared in groups of bounded size, and of the links found a spanning
-forest is passed on, never all pairs.
+six groups, in all twenty choices: twenty rows of 16 bytes for each different fingerprint. In a cell the bound is tested
+first (bit counts in unary, so it is one popcount), then the fingerprints themselves. A cell's rows are compared in groups
+of bounded size, and of the links found a spanning forest is passed on, never all pairs.
 
-Equal fingerprints are one vertex from the start, whatever their number.
+Equal fingerprints are one vertex from the start, whatever their number, and a fingerprint that very many documents share
+is given its component without a shuffle of their rows.
 
 Defined results:
 - fewer than three words: the whole sequence is the only shingle; none, as in null or empty text: fingerprint zero
 - rows with a null id: the fingerprint, component null; they link nothing
 - rows that share an id: each row by its own text; equal rows give equal results
+- a text of any length is one row; its hashes are counted a part at a time
 - an empty table: no rows
+- near_duplicates() returns its own columns only; one_of_each() all columns of the input, whatever their names
 """
 
 from __future__ import annotations
@@ -29,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weftline.llm.common import append_columns, cut
+from weftline.llm.common import append_columns, cut, fresh, look_up
 from weftline.llm.components import bounded_groups, connected_components
 
 WORDS_OF_SHINGLE, SEED, MOST_BITS = 3, 42, 3
@@ -79,28 +83,18 @@ def unary(fp: np.ndarray) -> np.ndarray:
 
 
 def grid_cells(fps: DataFrame, groups: int = GROUPS, most_bits: int = MOST_BITS) -> DataFrame:
-    """(cell, fp): each fingerprint in the cell of every choice of groups - most_bits groups of segments."""
-    parts = [[int(s) for s in x] for x in np.array_split(np.arange(32), groups)]
-    choices = list(itertools.combinations(range(groups), groups - most_bits))
+    """(cell, fp): each fingerprint in the cell of every choice of groups - most_bits groups of segments.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            signed = batch.column(0).to_numpy(zero_copy_only=False)
-            fp = signed.astype(np.int64).view(np.uint64)
-            counts = [np.bitwise_count((fp >> np.uint64(2 * s)) & np.uint64(3)).astype(np.int64) for s in range(32)]
-            codes = []
-            for part in parts:
-                code = np.zeros(len(fp), np.int64)
-                for s in part:
-                    code = code * 3 + counts[s]
-                codes.append(code)
-            for n, choice in enumerate(choices):
-                cell = np.full(len(fp), n, np.int64)
-                for g in choice:  # exact: twenty choices times three to the power 17 at most
-                    cell = cell * 3 ** len(parts[g]) + codes[g]
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(signed)], names=["cell", "fp"])
-
-    return fps.select("fp").mapInArrow(run, "cell long, fp long")
+    A cell is the hash of the choice and of the counts, in unary, of the segments chosen; cells that a hash puts together
+    cost time only, as every link is verified.
+    """
+    low = 0x5555555555555555
+    masks = [sum(3 << 2 * int(s) for s in part) for part in np.array_split(np.arange(32), groups)]
+    signed = lambda x: F.lit(x - (1 << 64) if x >> 63 else x)
+    first, second = F.shiftrightunsigned("fp", 1).bitwiseAND(F.lit(low)), F.col("fp").bitwiseAND(F.lit(low))
+    counts = F.shiftleft(first.bitwiseAND(second), 1).bitwiseOR(first.bitwiseOR(second))
+    cells = [F.xxhash64(F.lit(n), F.col("counts").bitwiseAND(signed(sum(masks[g] for g in choice)))) for n, choice in enumerate(itertools.combinations(range(groups), groups - most_bits))]
+    return fps.select("fp", counts.alias("counts")).select(F.explode(F.array(*cells)).alias("cell"), "fp")
 
 
 def forest(fp: np.ndarray, most_bits: int) -> list[tuple[int, int]]:
@@ -153,15 +147,28 @@ def hex_fingerprint(fp: str | Column = "fp") -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words_of_shingle: int = WORDS_OF_SHINGLE, most_bits: int = MOST_BITS, groups: int = GROUPS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """(doc_id, fp, component_id) for each row."""
-    rows = cut(with_fingerprint(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")), "_text", words_of_shingle=words_of_shingle, keep=["doc_id"]))
-    fps = rows.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
+    return judged(docs, text_col, id_col, **options).drop("print")
+
+
+def judged(docs: DataFrame, text_col: str, id_col: str, words_of_shingle: int = WORDS_OF_SHINGLE, most_bits: int = MOST_BITS, groups: int = GROUPS, block: int = BLOCK) -> DataFrame:
+    """(doc_id, fp, print, component_id) for each row; print tells texts apart."""
+    text = F.col(f"`{text_col}`")
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("print"), text.alias("_text"))
+    rows = cut(with_fingerprint(source, "_text", words_of_shingle=words_of_shingle, keep=["doc_id", "print"]))
+    known = rows.filter("doc_id is not null")
+    found = look_up(known, labels_of(known, most_bits, groups, block), ["fp"], "n").select("doc_id", "fp", "print", "component_id")
+    return found.unionByName(rows.filter("doc_id is null").withColumn("component_id", F.lit(None).cast("long")))
+
+
+def labels_of(known: DataFrame, most_bits: int, groups: int, block: int) -> DataFrame:
+    """(fp, component_id, n) for each fingerprint of known (doc_id, fp); n is the number of its rows."""
+    fps = cut(known.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")))
     roots = connected_components(near_links(fps, most_bits, groups, block))
-    linked = fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
-    smallest = linked.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    labels = linked.join(smallest, "root").select("fp", "component_id")
-    return rows.join(labels, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    linked = cut(fps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_doc", "n", F.coalesce("root", "fp").alias("root")))
+    smallest = linked.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    return cut(look_up(linked, smallest, ["root"], "members").select("fp", "component_id", "n"))
 
 
 def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
@@ -169,10 +176,21 @@ def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
     Rows with a null id stay. Of rows with the same id and fingerprint the one that sorts first stays.
     """
-    kept = near_duplicates(docs, text_col, id_col, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("_id"), F.col("fp").alias("_kept")).distinct()
-    own = with_fingerprint(docs, text_col, "_fp", **{k: v for k, v in options.items() if k == "words_of_shingle"})
-    id_long = F.col(f"`{id_col}`").cast("long")
-    known = own.filter(id_long.isNotNull()).withColumn("_id", id_long).join(kept.withColumnRenamed("_kept", "_fp"), ["_id", "_fp"])
-    order = Window.partitionBy("_id", "_fp").orderBy(*[F.col(f"`{c}`") for c in docs.columns if docs.schema[c].dataType.simpleString()[:3] != "map"])
-    first = known.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return first.unionByName(docs.filter(id_long.isNull()))
+    kept = judged(docs, text_col, id_col, **options).filter("doc_id = component_id").select("doc_id", "print", "fp").distinct()
+    id_long, print_, fp, rank = fresh(docs.columns, "_id", "_print", "_fp", "_rank")
+    own_id = F.col(f"`{id_col}`").cast("long")
+    # texts are known again by a hash that the JVM makes, so they are not fingerprinted twice
+    known = docs.filter(own_id.isNotNull()).withColumns({id_long: own_id, print_: F.xxhash64(F.col(f"`{text_col}`"))})
+    known = known.join(kept.toDF(id_long, print_, fp), [id_long, print_])
+    order = Window.partitionBy(id_long, fp).orderBy(*[F.col(f"`{c}`") for c in docs.columns if orderable(docs.schema[c].dataType)])
+    first = known.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return first.unionByName(docs.filter(own_id.isNull()))
+
+
+def orderable(kind: T.DataType) -> bool:
+    """Whether Spark can sort by a column of this type: maps and variants have no order, wherever they are nested."""
+    if isinstance(kind, T.ArrayType):
+        return orderable(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return all(orderable(f.dataType) for f in kind)
+    return not isinstance(kind, T.MapType | T.VariantType)
