@@ -4,10 +4,15 @@ Bin completion: around the largest piece left, the undominated fillings of the r
 cut when the waste so far shows that it cannot beat the best solution known, and a best-fit solution is the first such.
 A quick search tries a few fillings of each sequence; only if it ends above the lower bound are all of them tried.
 
+The search is exact on the counts of lengths until FILLING_NODES, PLAN_NODES or PLAN_BRANCHES is used up; then the best
+packing found so far stands. Every row says which it is: lower_bound is a number of sequences that no packing goes below,
+proven whether the packing is known to be the shortest, by meeting that bound or by a search that came to its end.
+
 The search needs the number of pieces of each length only, at most one count for each length up to the capacity, however
 many documents there are. Its result, a list of runs (length, first rank, first sequence, offset, number), is bounded by
 the capacity too. Pieces get their rank among those of their length from counts by (length, salt), so that a length
-which a third of all pieces have is dealt out over many tasks.
+which a third of all pieces have is dealt out over many tasks; the salt is the hash of a row's number, so rows without an
+id, of one id or equal in every column are dealt out as well.
 
 Defined results:
 - text null or empty: one piece, the end token alone
@@ -15,6 +20,8 @@ Defined results:
 - an empty table: no pieces
 - rows with null or repeated ids: each row is a document of its own, its pieces carry the id as it is
 - rows equal in every column: their pieces take different places
+- a text of any length is one row, encoded by one task and cut
+- columns of the input beside the id and the text, whatever their names, are not looked at
 """
 
 from __future__ import annotations
@@ -58,7 +65,7 @@ def token_pieces(docs: DataFrame, path: str, text_col: str = "text", id_col: str
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def quick_fillings(room: int, lengths: list[int], left: dict[int, int], nodes: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
@@ -95,7 +102,7 @@ def quick_fillings(room: int, lengths: list[int], left: dict[int, int], nodes: i
 def quick_plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = PLAN_NODES) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """A first plan(), from a few fillings of each sequence, each used as often as it can be."""
     total = sum(length * n for length, n in counts.items())
-    floor = max(-(-total // capacity), sum(n for length, n in counts.items() if 2 * length > capacity))
+    floor = least_sequences(counts, capacity)
     best: list | None = None
     best_bins, steps = sum(counts.values()) + 1, 0
     start = {length: n for length, n in counts.items() if n}
@@ -143,8 +150,9 @@ def quick_plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = PL
     return best or []
 
 
-def fillings(room: int, lengths: list[int], left: dict[int, int], nodes: int, perfect_ends: bool = True) -> tuple[list[tuple[int, tuple[tuple[int, int], ...]]], int]:
-    """Undominated ways to fill room with pieces that are left, least waste first, as (waste, ((length, number), ...)), and the branches looked at.
+def fillings(room: int, lengths: list[int], left: dict[int, int], nodes: int, perfect_ends: bool = True) -> tuple[list[tuple[int, tuple[tuple[int, int], ...]]], int, bool]:
+    """Undominated ways to fill room with pieces that are left, least waste first, as (waste, ((length, number), ...)), the
+    branches looked at, and whether these were all.
 
     lengths: ascending. A filling is dominated if another piece still fits into its waste. Every number of each length is
     tried, the most that fit first, so the first leaf is the best-fit filling; the search stops after nodes branches.
@@ -176,16 +184,44 @@ def fillings(room: int, lengths: list[int], left: dict[int, int], nodes: int, pe
             stack.append((free, at, n - 1, bound, chosen))
         after = free - n * length
         stack.append((after, below(after, at), -1, length if n < most else bound, (*chosen, (length, n)) if n else chosen))
-    return sorted(found, key=lambda x: x[0]) or [(room, ())], steps
+    return sorted(found, key=lambda x: x[0]) or [(room, ())], steps, not stack
+
+
+def least_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> int:
+    """A number of sequences that no packing goes below.
+
+    For a small length s, pieces over capacity - s fill a sequence alone, and of the others those over half the capacity
+    cannot share one; pieces from s up to half go into the room beside these before they need sequences of their own.
+    """
+    number = np.zeros(capacity + 2, np.int64)
+    for x, n in counts.items():
+        number[x] = n
+    size = number * np.arange(capacity + 2)
+    # pieces, and tokens, of all lengths below
+    n_below, t_below = np.concatenate([[0], number.cumsum()]), np.concatenate([[0], size.cumsum()])
+    half = capacity // 2  # lengths up to it are not over half the capacity
+    s = np.array([0] + [x for x in counts if x <= half and counts[x]])
+    top = capacity - s
+    halves, their_tokens = n_below[np.maximum(top, half) + 1] - n_below[half + 1], t_below[np.maximum(top, half) + 1] - t_below[half + 1]
+    alone = n_below[-1] - n_below[np.maximum(top, half) + 1]
+    small = t_below[half + 1] - t_below[s]
+    over = small - (capacity * halves - their_tokens)
+    return int((alone + halves + np.maximum(0, -(-over // capacity))).max())
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = PLAN_NODES, branches: int = PLAN_BRANCHES) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """Fillings of sequences and how often each is used, from the number of pieces of each length.
+    """The fillings of search() alone."""
+    return search(counts, capacity, nodes, branches)[0]
+
+
+def search(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = PLAN_NODES, branches: int = PLAN_BRANCHES) -> tuple[list[tuple[tuple[tuple[int, int], ...], int]], int, bool]:
+    """(fillings of sequences and how often each is used, the lower bound, whether nothing shorter is possible), from the
+    number of pieces of each length.
 
     The quick plan stands if it is as short as can be; else all fillings and numbers of uses are searched for a shorter one.
     """
     total = sum(length * n for length, n in counts.items())
-    floor = max(-(-total // capacity), sum(n for length, n in counts.items() if 2 * length > capacity))
+    floor, whole = least_sequences(counts, capacity), True
     start = {length: n for length, n in counts.items() if n}
     best = quick_plan(counts, capacity, nodes)
     best_bins, steps = sum(times for _, times in best), 0
@@ -200,11 +236,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = PLAN_NOD
 
     def ways(left: dict[int, int], lengths: list[int], every: bool):
         """(filling with the largest piece left, the most it can be used) for the filling of least waste, or for every one."""
-        nonlocal branches
+        nonlocal branches, whole
         largest = lengths[-1]
         left[largest] -= 1
-        found, looked_at = fillings(capacity - largest, lengths, left, FILLING_NODES, not every)
+        found, looked_at, all_of_them = fillings(capacity - largest, lengths, left, FILLING_NODES, not every)
         branches -= looked_at
+        whole = whole and (all_of_them or not every)
         left[largest] += 1
         for _, chosen in found if every else found[:1]:
             pattern = dict(chosen)
@@ -256,7 +293,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = PLAN_NOD
             break
         pattern, times = way
         used, bins, tokens = (used, way), bins + times, tokens - times * sum(x * k for x, k in pattern)
-    return best
+    # the search came to its end if nothing is left to try and no limit cut it short
+    return best, floor, best_bins <= floor or whole and not stack and steps < nodes and branches > 0
 
 
 def runs(patterns: list[tuple[tuple[tuple[int, int], ...], int]]) -> np.ndarray:
@@ -276,19 +314,21 @@ def runs(patterns: list[tuple[tuple[tuple[int, int], ...], int]]) -> np.ndarray:
 def ranked(pieces: DataFrame, total: int) -> DataFrame:
     """Add rank: the position of each piece among those of its length."""
     salts = int(min(4096, max(64, total // RANKED_TOGETHER)))
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    order = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    # numbered by their places in the files of the checkpoint
+    salted = pieces.withColumn("_row", F.monotonically_increasing_id()).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(salts)))
+    order = Window.partitionBy("length", "_salt").orderBy("_row")
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = salted.groupBy("length", "_salt").count().select("length", "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
     return salted.withColumn("_own", F.row_number().over(order) - 1).join(counts, ["length", "_salt"]).withColumn("rank", F.col("_before") + F.col("_own"))
 
 
 def pack(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """One row (doc_id, piece, start, length, ids_crc32, sequence_id, offset) for each piece."""
+    """One row (doc_id, piece, start, length, ids_crc32, sequence_id, offset, lower_bound, proven) for each piece."""
     pieces = cut(token_pieces(docs, path, text_col, id_col, capacity, end_id))
     # one row for each length, capacity rows at most
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
-    table = runs(plan(counts, capacity))
+    patterns, floor, proven = search(counts, capacity)
+    table = runs(patterns)
     keys = table[:, 0] << 40 | table[:, 1]
     shared = pieces.sparkSession.sparkContext.broadcast((keys, table))  # bounded by capacity, not by rows
     fields = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
@@ -301,4 +341,4 @@ def pack(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_
             sequence, place_in = np.divmod(rank - table[at, 1], table[at, 4])
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(5)], pa.array(table[at, 2] + sequence), pa.array(table[at, 3] + place_in * length)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked(pieces, sum(counts.values())).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long")).mapInArrow(place, fields)
+    return ranked(pieces, sum(counts.values())).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("rank").cast("long")).mapInArrow(place, fields).withColumns({"lower_bound": F.lit(floor).cast("long"), "proven": F.lit(proven)})
