@@ -8,7 +8,8 @@ Defined results:
 - encodings of equal size: the language that sorts first, rejected
 - no training rows at all: every text is `und`, score 0, rejected
 - repeated rows and null ids: each row is judged on its text alone
-- columns of the input named like an output column are replaced; all others are carried along
+- a text of any length is one row, encoded block by block
+- columns of the input named like an output column are replaced; all others are carried along, whatever their names
 """
 
 from __future__ import annotations
@@ -28,11 +29,14 @@ SAMPLE_DOCUMENTS = 64
 DICTIONARY_BYTES = 32768
 #: Texts are encoded in blocks, so that a dictionary counts at the end of a long text as much as at its start.
 BLOCK_BYTES = 4096
-#: Encodings of short texts are too alike for the fast search; these get the thorough one.
-SHORT_BYTES = 512
+#: The bytes of a stretch of a training text: its share is taken in such stretches from all over the text.
+STRETCH = 128
 #: A margin under this share of the second smallest encoding is narrow.
 NARROW = 0.002
 
+#: One search for texts of every length: the library's most thorough strategy, btultra2, as short encodings are too alike for faster ones.
+SEARCH = {"strategy": 9, "min_match": 3, "search_log": 7}
+
 LETTER = re.compile(r"[^\W\d_]")
 #: ASCII digits, punctuation and controls say nothing of the language.
 PLAIN = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
@@ -53,24 +57,19 @@ class LanguageModel:
         """A function from a text to (language, score, rejected)."""
         import zstandard as zstd
 
-        def encoders(**search):
-            made = []
-            for lang in sorted(self.dictionaries):
-                content = zstd.ZstdCompressionDict(self.dictionaries[lang], dict_type=zstd.DICT_TYPE_RAWCONTENT)
-                params = zstd.ZstdCompressionParameters(format=zstd.FORMAT_ZSTD1_MAGICLESS, write_checksum=False, write_content_size=False, write_dict_id=False, window_log=17, hash_log=15, chain_log=15, **search)
-                content.precompute_compress(compression_params=params)
-                made.append((lang, zstd.ZstdCompressor(dict_data=content, compression_params=params)))
-            return made
-
-        fast = encoders(strategy=zstd.STRATEGY_GREEDY, min_match=4, search_log=3)
-        thorough = encoders(strategy=zstd.STRATEGY_BTULTRA2, min_match=3, search_log=7)
+        made = []
+        for lang in sorted(self.dictionaries):
+            content = zstd.ZstdCompressionDict(self.dictionaries[lang], dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            params = zstd.ZstdCompressionParameters(format=zstd.FORMAT_ZSTD1_MAGICLESS, write_checksum=False, write_content_size=False, write_dict_id=False, window_log=17, hash_log=15, chain_log=15, **SEARCH)
+            content.precompute_compress(compression_params=params)
+            made.append((lang, zstd.ZstdCompressor(dict_data=content, compression_params=params)))
 
         def classify(text: str | None) -> tuple[str, float, bool]:
-            if not text or not LETTER.search(text) or not fast:
+            if not text or not LETTER.search(text) or not made:
                 return UNKNOWN, 0.0, True
             data = normalise(text)
             blocks = [data[at : at + BLOCK_BYTES] for at in range(0, len(data), BLOCK_BYTES)]
-            sizes = sorted((sum(len(encoder.compress(b)) for b in blocks), lang) for lang, encoder in (thorough if len(data) < SHORT_BYTES else fast))
+            sizes = sorted((sum(len(encoder.compress(b)) for b in blocks), lang) for lang, encoder in made)
             best, lang = sizes[0]
             if len(sizes) == 1:
                 return lang, 1.0, False
@@ -83,12 +82,21 @@ class LanguageModel:
 
 
 def shared_evenly(texts: list[bytes], room: int) -> bytes:
-    """The texts in their order, a line each, cut so that all fit: each gets an even share, and what short ones leave goes to the others."""
+    """Parts of all texts in their order, a line each: each text gets an even share, and what short ones leave goes to the others."""
     shares = [0] * len(texts)
     for done, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
         shares[i] = min(len(texts[i]) + 1, room // (len(texts) - done))
         room -= shares[i]
-    return b"".join((text[: share - 1] + b"\n") for text, share in zip(texts, shares, strict=True) if share)
+    return b"".join(stretches(text, share - 1) + b"\n" for text, share in zip(texts, shares, strict=True) if share)
+
+
+def stretches(text: bytes, room: int) -> bytes:
+    """room bytes of a text: stretches that lie evenly all over it."""
+    if len(text) <= room:
+        return text
+    n = -(-room // STRETCH)
+    sizes = [(i + 1) * room // n - i * room // n for i in range(n)]
+    return b"".join(text[at : at + size] for i, size in enumerate(sizes) for at in [i * (len(text) - size) // max(1, n - 1)])
 
 
 def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_documents: int = SAMPLE_DOCUMENTS, dictionary_bytes: int = DICTIONARY_BYTES) -> LanguageModel:
@@ -98,7 +106,8 @@ def train(docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str
     """
     labelled = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     ids = [r[0] for r in sample_by_hash(labelled.select(id_col, lang_col), id_col, lang_col, sample_documents).select(id_col).collect()]
-    rows = labelled.filter(F.col(id_col).isin(ids)).select(id_col, lang_col, text_col).collect() if ids else []
+    # of an id that several rows have, one text in each language, so what is fetched is bounded by the sample
+    rows = labelled.filter(F.col(id_col).isin(ids)).groupBy(id_col, lang_col).agg(F.min_by(text_col, F.struct(F.xxhash64(text_col), text_col))).collect() if ids else []
     texts: dict[str, list[bytes]] = {}
     for _, lang, text in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
         texts.setdefault(lang, []).append(normalise(text))
