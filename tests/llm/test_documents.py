@@ -241,7 +241,6 @@ def test_secrets_against_plain_patterns(spark, docs):
         base = brute(r["text"])
         assert out[r["doc_id"]]["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
         assert set(filter(None, base.split(","))) <= set(out[r["doc_id"]]["spans"].split(","))
-    assert secretscan.Scanner(field).added("deploy key Zx81kQp93LmVt72Rw5qq9 is here") or field.weights
     odd = {r["doc_id"]: r for r in secretscan.scan(docs, secretscan.train(docs.limit(0))).collect()}
     assert odd[100]["spans"] == "" and secretscan.scan(docs.limit(0), field).count() == 0
 
@@ -297,7 +296,7 @@ PRIVATE = "Mail Anna.B+1@corp.de or anna.b+1@corp.de, call +1 (407) 555-6242 or
 def test_surrogates_keep_type_format_and_coreference(spark, docs):
     key = b"k"
     text, found = pii.rewrite(PRIVATE, key, {})
-    assert [e.kind for e in found] == ["email", "email", "phone", "phone", "card", "card", "ip", "iban", "ssn", "name", "name"]
+    assert [e.kind for e in found] == ["email", "email", "phone", "phone", "card", "card", "ip", "iban", "ssn", "family", "family"]
     again = pii.detect(text)
     assert [e.kind for e in again] == [e.kind for e in found]
     for old, new in zip(found, again, strict=True):
@@ -338,7 +337,7 @@ def test_names_keep_one_surrogate_with_and_without_a_title(spark):
         text = {r["doc_id"]: r["text"] for r in pii.replace(frame, b"k", listed=listed).collect()}
         named = {i: [e.text for e in pii.detect(t)] for i, t in text.items()}
         assert named[2] == named[1][:1] and named[3] == named[1][1:]
-        assert named[1][0].split()[0] in pii.GIVEN["m"] and named[1][1].split()[0] in pii.GIVEN["f"]
+        assert named[1][0].split()[0] in pii.GIVEN["latin"]["m"] and named[1][1].split()[0] in pii.GIVEN["latin"]["f"]
         assert len({*named[4], *named[5]}) == 3 and text[6] is None
 
 
@@ -352,7 +351,7 @@ def test_packing_tries_every_number_of_a_length():
             for x, n in pattern:
                 used[x] = used.get(x, 0) + n * times
         assert used == counts and sum(times for _, times in found) == k
-    ways, _ = packing.fillings(10, [2, 3, 5], {2: 5, 3: 3, 5: 2}, 1000, perfect_ends=False)
+    ways, _, whole = packing.fillings(10, [2, 3, 5], {2: 5, 3: 3, 5: 2}, 1000, perfect_ends=False)
     expected = set()
     for a in range(3):
         for b in range(4):
@@ -360,7 +359,7 @@ def test_packing_tries_every_number_of_a_length():
                 free = 10 - 5 * a - 3 * b - 2 * c
                 if free >= 0 and not any(free >= x and n for x, n in ((5, 2 - a), (3, 3 - b), (2, 5 - c))):
                     expected.add(tuple((x, n) for x, n in ((5, a), (3, b), (2, c)) if n))
-    assert {w for _, w in ways} == expected
+    assert whole and {w for _, w in ways} == expected
 
 
 def test_further_mentions_of_a_name_get_its_surrogate(spark):

@@ -1,26 +1,32 @@
 """Secret scanning: fixed patterns, and a linear-chain conditional random field that adds to them.
 
 Tokens are tagged as begin, inside or outside of a secret from their own shape, the words beside them and features of the
-whole text, decoded by Viterbi. The field is trained on windows around what the patterns find in a bounded sample of texts
-(SAMPLE_TEXTS by hashed id), with the patterns' own words around it; runs that it tags and that touch no pattern match are
-added with the kind `crf`.
+whole text, decoded by Viterbi. A field that learned only from what the patterns find could do no more than repeat them, so
+it learns from a bounded sample of texts (SAMPLE_TEXTS by hashed id) in which secrets are planted: values of many makes,
+behind many keywords and behind none, so that shape and neighbours must each do without the other; and, as often, things
+that look alike and are none. Runs that it tags and that touch no pattern match are added with the kind `crf`.
 
 Decoding is exact but skips what is settled: where a token's lead for outside is larger than all that transitions can
 change, every best path passes outside there, so only the tokens between such places are decoded.
 
 Defined results:
 - text null or empty: no spans
-- no pattern match in the sample: an untrained field, which adds nothing
+- no text in the sample: an untrained field, which adds nothing
 - positions are code points, ends exclusive; a span of the fixed patterns is the whole match
+- several texts for one id: one of them is learned from
 - repeated rows and null ids: each row is scanned on its text alone
-- columns of the input named like an output column are replaced; all others are carried along
+- a text of any length is one row; its tokens are held by one task
+- columns of the input named like an output column are replaced; all others are carried along, whatever their names
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
+import random
 import re
+import zlib
 from collections import Counter
 from dataclasses import dataclass
 
@@ -30,10 +36,10 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import append_columns, cut, sample_by_hash
 
-SAMPLE_TEXTS = 1500
+SAMPLE_TEXTS = 600
 #: Tokens on either side of a match that are learned from; the most windows of one sampled text, so that no text outweighs
-#: the others in training; windows without a match; rounds of training.
-WINDOW, WINDOWS_OF_TEXT, EMPTY_WINDOWS, ROUNDS = 14, 20, 1500, 60
+#: the others in training; secrets and look-alikes planted into each text; rounds of training.
+WINDOW, WINDOWS_OF_TEXT, PLANTED, ROUNDS = 14, 20, 2, 60
 MEMO_TOKENS = 200_000
 KINDS = ("assign", "access", "hex", "crf")
 
@@ -44,8 +50,10 @@ ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 6, 20, 24
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-# Words that stand before secrets, beside those of the patterns.
-HINTS = frozenset("password passwd pwd secret token apikey api_key api key bearer authorization credential credentials auth access private client signature".split())
+# Words that stand before secrets, alone or as a part of a name, beside those of the patterns.
+HINTS = frozenset("password passwd passphrase pwd pass pin secret secrets token apikey api_key api key keys bearer authorization credential credentials creds auth access private client signature signing license webhook passwort kennwort schlüssel contraseña clave motdepasse".split())
+#: How far before a token a hint still counts.
+REACH = 4
 
 TOKEN = re.compile(r"[\w+/\-]+|[^\w\s]")
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
@@ -72,10 +80,19 @@ def shape(token: str) -> str:
     return RUNS.sub(r"\1", token.translate(CLASSES))
 
 
+PARTS = re.compile(r"[_\-/+]")
+
+
+def is_hint(token: str) -> bool:
+    word = token.lower()
+    return word in HINTS or any(c in word for c in "_-/") and not HINTS.isdisjoint(PARTS.split(word))
+
+
 def own_features(token: str) -> list[str]:
     n = len(token)
     if token.isalpha():
-        return ["len=" + str(min(6, n.bit_length())), "word:lower" if token.islower() else "word:mixed"] + (["hint"] if token.lower() in HINTS else [])
+        kind = "word:lower" if token.islower() else "word:title" if token.istitle() else "word:upper" if token.isupper() else "word:mixed"
+        return ["len=" + str(min(6, n.bit_length())), kind] + (["hint"] if is_hint(token) else []) + (["vowels=" + str(int(4 * sum(c in "aeiouyAEIOUY" for c in token) / n))] if n > 12 else [])
     found = ["len=" + str(min(6, n.bit_length())), "shape=" + shape(token)[:8]]
     if n >= 6:
         digits, upper = sum(c.isdigit() for c in token), sum("A" <= c <= "Z" for c in token)
@@ -88,17 +105,37 @@ def own_features(token: str) -> list[str]:
             found.append("wide")
         if digits == n:
             found.append("number")
-    if token.lower() in HINTS:
+        if digits + upper == n and digits and upper:
+            found.append("capitals and digits")
+        # words, numbers and short marks put together make a name; a secret has a long stretch of both
+        longest = max((p for p in PARTS.split(token)), key=len)
+        found.append(f"longest={min(6, len(longest).bit_length())}" + ("mixed" if not longest.isalpha() and not longest.isdigit() else "plain"))
+    if is_hint(token):
         found.append("hint")
-    if token.startswith("AKIA"):
-        found.append("access")
     return found
 
 
+def beside_kind(token: str) -> str:
+    """What a neighbour sees of a token."""
+    return "hint" if is_hint(token) else "mark" + token if len(token) == 1 and not token.isalnum() else "number" if token.isdigit() else "other"
+
+
 def beside_features(token: str, side: str) -> list[str]:
-    word = token.lower()
-    kind = "word=" + word if word in HINTS or len(token) == 1 and not token.isalnum() else "other"
-    return [side + kind]
+    return [side + beside_kind(token)]
+
+
+def hint_features(token: str, distance: int) -> list[str]:
+    return [f"hint-{distance}"] if is_hint(token) else []
+
+
+def features_at(tokens: list[str], i: int, whole: list[str]) -> list[str]:
+    """All features of a token; Scanner adds up the same from its table."""
+    found = own_features(tokens[i]) + whole
+    found += beside_features(tokens[i - 1], "before:") if i else []
+    found += beside_features(tokens[i + 1], "after:") if i + 1 < len(tokens) else []
+    for d in range(2, REACH + 1):
+        found += hint_features(tokens[i - d], d) if i >= d else []
+    return found
 
 
 def file_features(tokens: list[str]) -> list[str]:
@@ -151,7 +188,7 @@ class Scanner:
         self.field = field
         self.row = _Rows(self)
         self.alike: dict[tuple, int] = {}
-        self.table = np.zeros((1024, 9))
+        self.table = np.zeros((1024, 9 + 3 * (REACH - 1)))
         self.slack = 2 * float(field.moves.max() - field.moves.min())
 
     def rows(self, tokens: list[str]) -> np.ndarray:
@@ -162,17 +199,26 @@ class Scanner:
 
     def place(self, token: str) -> int:
         """The token's row of the table. Tokens with the same features share one."""
-        own, word = own_features(token), token.lower()
-        key = (*own, word if word in HINTS or len(token) == 1 and not token.isalnum() else "")
+        own = own_features(token)
+        key = (*own, beside_kind(token))
         at = self.alike.get(key)
         if at is None:
             at = self.alike[key] = len(self.alike)
             if at >= len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             total = self.field.total
-            self.table[at] = np.concatenate([total(own), total(beside_features(token, "before:")), total(beside_features(token, "after:"))])
+            self.table[at] = np.concatenate([total(own), total(beside_features(token, "before:")), total(beside_features(token, "after:")), *[total(hint_features(token, d)) for d in range(2, REACH + 1)]])
         return at
 
+    def emissions(self, tokens: list[str]) -> np.ndarray:
+        held = self.table[self.rows(tokens)]
+        emit = held[:, :3] + self.field.total(file_features(tokens))
+        emit[1:] += held[:-1, 3:6]
+        emit[:-1] += held[1:, 6:9]
+        for d in range(2, REACH + 1):
+            emit[d:] += held[:-d, 3 + 3 * d : 6 + 3 * d]
+        return emit
+
     def added(self, text: str) -> list[tuple[int, int]]:
         """(start, end) of each run of tokens tagged as a secret."""
         if not self.field.weights:
@@ -180,10 +226,7 @@ class Scanner:
         tokens = TOKEN.findall(text)
         if not tokens:
             return []
-        held = self.table[self.rows(tokens)]
-        emit = held[:, :3] + self.field.total(file_features(tokens))
-        emit[1:] += held[:-1, 3:6]
-        emit[:-1] += held[1:, 6:9]
+        emit = self.emissions(tokens)
         open_ = np.nonzero(emit[:, OUTSIDE] - np.maximum(emit[:, BEGIN], emit[:, INSIDE]) <= self.slack)[0]
         if not len(open_):
             return []
@@ -206,99 +249,193 @@ class Scanner:
         """(spans of the patterns, all spans), each by start and kind."""
         if not text:
             return [], []
-        base = base_spans(text)
-        more = [(s, "crf", e) for s, e in self.added(text) if not any(s < b_end and b_start < e for b_start, _, b_end in base)]
+        base, more, reach = base_spans(text), [], 0
+        starts = [x[0] for x in base]
+        ends = [reach := max(reach, x[2]) for x in base]  # the furthest end so far
+        for start, end in self.added(text):
+            before = bisect.bisect_left(starts, end)
+            if not before or ends[before - 1] <= start:
+                more.append((start, "crf", end))
         return base, sorted(base + more, key=lambda x: (x[0], KINDS.index(x[1])))
 
 
+# Alphabets of planted values, how names and values are written together, and forms of look-alikes.
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+JOINS = (" = ", "=", ": ", ":", " is ", " ", ' = "', "='", ': "', " -> ", " := ")
+NAMED = ("{h}", "{h}", "{H}", "{w}_{h}", "{h}_{w}", "{w}-{h}", "the {w} {h}", "{w} {h}", "{H}_{W}", "Authorization: Bearer")
+ALIKE = (
+    "{d}{d}{d}{d}-{d}{d}-{d}{d}", "{d}{d}:{d}{d}:{d}{d}", "v{d}.{d}{d}.{d}", "{d}{d}{d}.{d}{d}.{d}.{d}", "+{d}{d} {d}{d}{d} {d}{d}{d}{d}{d}", "({d}{d}{d}) {d}{d}{d}-{d}{d}{d}{d}", "{d}{d}{d}{d} {d}{d}{d}{d} {d}{d}{d}{d} {d}{d}{d}{d}", "{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}{d}",
+    "{w}.{w}{d}{d}@{w}.com", "{w}@{w}.org", "https://www.{w}.com/{w}/{w}-{w}?{w}={d}{d}", "/{w}/{w}/{w}_{d}{d}.{w}", "{W}-{d}{d}{d}{d}-{d}{d}{d}{d}{d}", "{W}{d}{d}{d}", "{w}{C}{C}", "{C}{C}{C}{C}", "{w}_{w}_{w}", "{W}_{W}_{W}", "{w}-{w}-{w}", "{w}{w}{w}", "{W}{W}", "{w}{d}", "{d}{w}", "{x}{x}{x}{x}{x}{x}{x}",
+    "{x}{x}{x}{x}{x}{x}{x}{x}-{x}{x}{x}{x}-{x}{x}{x}{x}-{x}{x}{x}{x}-{x}{x}{x}{x}{x}{x}{x}{x}{x}{x}{x}{x}", "{W}{W}{d}{d} {d}{d}{d}{d} {d}{d}{d}{d} {d}{d}{d}{d}", "#{x}{x}{x}{x}{x}{x}", "{d}{d}.{d}{d}{d},{d}{d}", "{h} {w}", "{h} {w} {w}", "{h}: {w}", "{h} = {w}", "{h} is {w}", "{w} {h}, {w}", "{h}: {d}", "{h} {d}{d}", "{h}s", "{h}.{w}()", "{w}.{h}",
+)
+
+
+def planted_value(draw: random.Random, word: str, named: bool) -> str:
+    """A made-up secret. One that could be a word with a number is only made behind a name."""
+    some = lambda alphabet, lo, hi: "".join(draw.choice(alphabet) for _ in range(draw.randint(lo, hi)))
+    mixed = LOWER + UPPER + DIGITS
+    kind = draw.randrange(10 if named else 7)
+    if kind == 0:
+        return some(DIGITS + "abcdef", 16, 64) if draw.random() < 0.5 else some(DIGITS + "ABCDEF", 16, 40)
+    if kind in (1, 2):
+        return some(mixed, 14, 40)
+    if kind == 3:
+        return some(mixed + "+/", 20, 64) + draw.choice(("", "=", "=="))
+    if kind == 4:
+        return some(UPPER, 2, 5) + some(UPPER + DIGITS, 14, 24)
+    if kind == 5:
+        return some(LOWER, 2, 4) + draw.choice(("_", "-", "_live_", "_test_")) + some(mixed, 16, 36)
+    if kind == 6:
+        return ".".join(some(mixed + "_-", 12, 40) for _ in range(3)) if draw.random() < 0.5 else some(LOWER + DIGITS, 20, 40)
+    if kind == 7:
+        return word + some(DIGITS, 1, 4) + draw.choice(("", "!", word, "#" + word, "$"))
+    if kind == 8:
+        return word.title() + some(DIGITS, 2, 4) + draw.choice("!?#$*")
+    return some(mixed + "!#$%*", 8, 14)
+
+
+def planted(draw: random.Random, words: list[str], secret: bool) -> tuple[str, int, int]:
+    """(phrase, where the secret in it starts and ends), start and end 0 for a look-alike."""
+    word = lambda: draw.choice(words)
+    hint = draw.choice(sorted(HINTS))
+    if not secret:
+        form = draw.choice(ALIKE)
+        for mark, make in (("{w}", lambda: word().lower()), ("{W}", lambda: word().upper()), ("{C}", lambda: word().title()), ("{h}", lambda: hint), ("{d}", lambda: draw.choice(DIGITS)), ("{x}", lambda: draw.choice(DIGITS + "abcdef"))):
+            while mark in form:
+                form = form.replace(mark, make(), 1)
+        return form, 0, 0
+    named = draw.random() < 0.65
+    value = planted_value(draw, word().lower(), named)
+    if not named:
+        return value, 0, len(value)
+    name = draw.choice(NAMED).format(h=hint, H=hint.upper(), w=word().lower(), W=word().upper())
+    join = " " if name.endswith("Bearer") else draw.choice(JOINS)
+    return name + join + value + join[-1] * (join[-1] in "'\""), len(name + join), len(name + join + value)
+
+
+def tagged(places: list[tuple[int, int]], secrets: list[tuple[int, int]]) -> list[int]:
+    """The tag of each token, of those that lie in a secret."""
+    tags, starts = [OUTSIDE] * len(places), [a for a, _ in places]
+    for start, end in secrets:
+        i, inside = bisect.bisect_left(starts, start), False
+        while i < len(places) and places[i][1] <= end:
+            tags[i] = INSIDE if inside else BEGIN
+            i, inside = i + 1, True
+    return tags
+
+
 def windows(texts: list[str]) -> list[tuple[list[list[str]], list[int]]]:
-    """(features of each token, tags) of windows around matches, and of windows without any."""
-    found, empty = [], []
+    """(features of each token, tags) of windows around matches and around what is planted, and of windows of the text as it is."""
+    found = []
     for text in texts:
+        draw = random.Random(zlib.crc32(text.encode("utf-8", "replace")))  # a text is planted with the same things everywhere
         places = [m.span() for m in TOKEN.finditer(text)]
         if not places:
             continue
-        tokens, tags = [text[a:b] for a, b in places], [OUTSIDE] * len(places)
-        for start, kind, end in base_spans(text):
-            if kind == "assign":
-                start, end = ASSIGN.match(text, start).span(2)
-            inside = False
-            for i, (a, b) in enumerate(places):
-                if a >= end:
-                    break
-                if a >= start and b <= end:
-                    tags[i] = INSIDE if inside else BEGIN
-                    inside = True
-        whole = file_features(tokens)
-
-        def take(lo: int, hi: int) -> tuple[list[list[str]], list[int]]:
-            rows = []
-            for i in range(lo, hi):
-                rows.append(own_features(tokens[i]) + whole + (beside_features(tokens[i - 1], "before:") if i else []) + (beside_features(tokens[i + 1], "after:") if i + 1 < len(tokens) else []))
-            return rows, tags[lo:hi]
-
-        secret = [i for i, t in enumerate(tags) if t == BEGIN]
-        for i in secret[:WINDOWS_OF_TEXT]:
-            found.append(take(max(0, i - WINDOW), min(len(tokens), i + WINDOW)))
-        if len(empty) < EMPTY_WINDOWS:
-            # a place that depends on the text alone
-            at = len(text) * 2654435761 % len(tokens)
-            lo, hi = max(0, at - WINDOW), min(len(tokens), at + WINDOW)
-            if OUTSIDE == max(tags[lo:hi]) == min(tags[lo:hi]):
-                empty.append(take(lo, hi))
-    return found + empty if found else []
-
-
-def fit(given: list[tuple[list[list[str]], list[int]]], rounds: int = ROUNDS, shrink: float = 1e-3, rate: float = 0.3) -> SecretField:
-    """Conditional maximum likelihood by forward-backward and adaptive gradient steps over all windows at once."""
+        tokens = [text[a:b] for a, b in places]
+        secrets = [ASSIGN.match(text, start).span(2) if kind == "assign" else (start, end) for start, kind, end in base_spans(text)]
+        tags, whole = tagged(places, secrets), file_features(tokens)
+
+        def take(tokens, tags, whole, lo, hi):
+            lo, hi = max(0, lo), min(len(tokens), hi)
+            while lo and tags[lo] == INSIDE:  # a window ends where a secret does
+                lo -= 1
+            while hi < len(tokens) and tags[hi] == INSIDE:
+                hi += 1
+            found.append(([features_at(tokens, i, whole) for i in range(lo, hi)], tags[lo:hi]))
+
+        begins = [i for i, t in enumerate(tags) if t == BEGIN]
+        for i in begins[:WINDOWS_OF_TEXT]:
+            take(tokens, tags, whole, i - WINDOW, i + WINDOW)
+        at = draw.randrange(len(tokens))
+        take(tokens, tags, whole, at - WINDOW, at + WINDOW)
+        words = [t for t in tokens[:: max(1, len(tokens) // 64)] if t.isalpha()] or ["word"]
+        for k in range(2 * PLANTED):
+            phrase, start, end = planted(draw, words, k % 2 == 0)
+            own = [m.span() for m in TOKEN.finditer(phrase)]
+            at = draw.randrange(len(tokens) + 1)
+            while at < len(tags) and tags[at] == INSIDE:
+                at += 1
+            grown = tokens[:at][-2 * WINDOW :] + [phrase[a:b] for a, b in own] + tokens[at:][: 2 * WINDOW]
+            marks = tags[:at][-2 * WINDOW :] + tagged(own, [(start, end)] if end else []) + tags[at:][: 2 * WINDOW]
+            first = min(at, 2 * WINDOW)
+            take(grown, marks, whole, first - WINDOW, first + len(own) + WINDOW)
+    return found
+
+
+def fit(given: list[tuple[list[list[str]], list[int]]], rounds: int = ROUNDS, shrink: float = 3e-4, rate: float = 0.3) -> SecretField:
+    """Conditional maximum likelihood by forward-backward and adaptive gradient steps over all windows at once.
+
+    Before a window and after it stands outside, as in decoding.
+    """
     if not given:
         return SecretField({}, np.zeros((3, 3)))
     names = {f: i for i, f in enumerate(sorted({f for rows, _ in given for row in rows for f in row}))}
-    n, length = len(given), max(len(tags) for _, tags in given)
-    most = max(len(row) for rows, _ in given for row in rows)
-    ids, real = np.full((n, length, most), len(names)), np.zeros((n, length), bool)
-    gold = np.full((n, length), OUTSIDE)
-    for w, (rows, tags) in enumerate(given):
-        real[w, : len(tags)] = True
-        gold[w, : len(tags)] = tags
-        for t, row in enumerate(rows):
-            ids[w, t, : len(row)] = [names[f] for f in row]
-    weights, moves = np.zeros((len(names) + 1, 3)), np.zeros((3, 3))
+    data = _Windows(given, names)
+    weights, moves = np.zeros((len(names), 3)), np.zeros((3, 3))
     seen_w, seen_m = np.full_like(weights, 1e-8), np.full_like(moves, 1e-8)
-    onehot = np.eye(3)[gold] * real[..., None]
-    pair = real[:, 1:] & real[:, :-1]
-    gold_moves = np.zeros((3, 3))
-    np.add.at(gold_moves, (gold[:, :-1][pair], gold[:, 1:][pair]), 1)
-    flat = ids[real]
     for _ in range(rounds):
-        emit = weights[ids].sum(axis=2)
+        _, grad, grad_m = data.gradient(weights, moves)
+        grad, grad_m = grad / data.n - shrink * weights, grad_m / data.n - shrink * moves
+        seen_w += grad**2
+        seen_m += grad_m**2
+        weights += rate * grad / np.sqrt(seen_w)
+        moves += rate * grad_m / np.sqrt(seen_m)
+    return SecretField({f: tuple(weights[i].tolist()) for f, i in names.items()}, moves)
+
+
+class _Windows:
+    """Windows as arrays: the feature numbers of all tokens one after another, and the tokens' places."""
+
+    def __init__(self, given, names: dict[str, int]):
+        self.n, self.length = len(given), max(len(tags) for _, tags in given)
+        self.real, self.gold = np.zeros((self.n, self.length), bool), np.full((self.n, self.length), OUTSIDE)
+        for w, (_, tags) in enumerate(given):
+            self.real[w, : len(tags)] = True
+            self.gold[w, : len(tags)] = tags
+        rows = [[names[f] for f in row] for own, _ in given for row in own]
+        sizes = np.array([len(r) for r in rows])
+        self.flat, self.starts = np.array([f for r in rows for f in r], np.int64), np.concatenate([[0], sizes.cumsum()[:-1]])
+        self.token, self.width = np.repeat(np.arange(len(rows)), sizes), len(names)
+        self.last = self.real.sum(axis=1) - 1
+
+    def gradient(self, weights: np.ndarray, moves: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """(log-likelihood, its gradient by the weights, by the moves)"""
+        n, length, real, gold = self.n, self.length, self.real, self.gold
+        emit = np.zeros((n, length, 3))
+        emit[real] = np.add.reduceat(weights[self.flat], self.starts)
         fore, back = np.zeros((length, n, 3)), np.zeros((length, n, 3))
-        fore[0] = emit[:, 0]
+        fore[0] = emit[:, 0] + moves[OUTSIDE]
         for t in range(1, length):
             step = fore[t - 1][:, :, None] + moves
-            top = step.max(axis=1)
-            fore[t] = np.where(real[:, t, None], emit[:, t] + top + np.log(np.exp(step - top[:, None]).sum(axis=1)), fore[t - 1])
+            fore[t] = np.where(real[:, t, None], emit[:, t] + _log_sum(step, 1), fore[t - 1])
+        back[length - 1] = moves[:, OUTSIDE]
         for t in range(length - 2, -1, -1):
             step = moves + (emit[:, t + 1] + back[t + 1])[:, None, :]
-            top = step.max(axis=2)
-            back[t] = np.where(real[:, t + 1, None], top + np.log(np.exp(step - top[..., None]).sum(axis=2)), 0.0)
-        both = fore + back
-        norm = both[0].max(axis=1) + np.log(np.exp(both[0] - both[0].max(axis=1, keepdims=True)).sum(axis=1))
-        p = np.exp(both - norm[None, :, None]).transpose(1, 0, 2) * real[..., None]
-        pm = np.zeros((3, 3))
+            back[t] = np.where(real[:, t + 1, None], _log_sum(step, 2), moves[:, OUTSIDE])
+        norm = _log_sum(fore[0] + back[0], 1)
+        p = np.exp(fore + back - norm[None, :, None]).transpose(1, 0, 2) * real[..., None]
+        grad_m, rows = np.zeros((3, 3)), np.arange(n)
+        value = float(emit[rows[:, None], np.arange(length), gold][real].sum() - norm.sum())
+        # into the first token and out of the last
+        np.add.at(grad_m, (np.full(n, OUTSIDE), gold[:, 0]), 1)
+        np.add.at(grad_m, (gold[rows, self.last], np.full(n, OUTSIDE)), 1)
+        pair = real[:, 1:]
+        np.add.at(grad_m, (gold[:, :-1][pair], gold[:, 1:][pair]), 1)
+        value += float((grad_m * moves).sum())
+        grad_m[OUTSIDE] -= p[:, 0].sum(axis=0)
+        grad_m[:, OUTSIDE] -= p[rows, self.last].sum(axis=0)
         for t in range(1, length):
             on = real[:, t]
-            step = fore[t - 1][on][:, :, None] + moves + (emit[:, t] + back[t])[on][:, None, :] - norm[on][:, None, None]
-            pm += np.exp(step).sum(axis=0)
-        miss = (onehot - p)[real]
-        grad = np.stack([np.bincount(flat.ravel(), np.repeat(miss[:, k], most), len(names) + 1) for k in range(3)], axis=1) / n - shrink * weights
-        grad[-1] = 0
-        grad_m = (gold_moves - pm) / n - shrink * moves
-        seen_w += grad**2
-        seen_m += grad_m**2
-        weights += rate * grad / np.sqrt(seen_w)
-        moves += rate * grad_m / np.sqrt(seen_m)
-    return SecretField({f: tuple(weights[i].tolist()) for f, i in names.items()}, moves)
+            grad_m -= np.exp(fore[t - 1][on][:, :, None] + moves + (emit[:, t] + back[t])[on][:, None, :] - norm[on][:, None, None]).sum(axis=0)
+        miss = (np.eye(3)[gold] - p)[real]
+        grad = np.stack([np.bincount(self.flat, miss[self.token, k], self.width) for k in range(3)], axis=1)
+        return value, grad, grad_m
+
+
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis=axis)
+    return top + np.log(np.exp(x - np.expand_dims(top, axis)).sum(axis=axis))
 
 
 def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_texts: int = SAMPLE_TEXTS) -> SecretField:
@@ -307,8 +444,9 @@ def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sampl
     # written once, as the sample reads the flags twice and finding them reads every text
     flagged = cut(docs.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), some.cast("int").alias("_some")))
     ids = [r[0] for r in sample_by_hash(flagged, "_id", "_some", sample_texts).select("_id").collect()]
-    rows = docs.filter(F.col(id_col).isin(ids)).select(id_col, text_col).collect() if ids else []
-    return fit(windows([r[1] for r in sorted(rows, key=lambda r: (r[0], r[1] or "")) if r[1]]))
+    # of an id that several rows have, one text, so what is fetched is bounded by the sample
+    rows = docs.filter(F.col(id_col).isin(ids) & F.col(text_col).isNotNull()).groupBy(id_col).agg(F.min_by(text_col, F.struct(F.xxhash64(text_col), text_col))).collect() if ids else []
+    return fit(windows([r[1] for r in sorted(rows, key=lambda r: r[0]) if r[1]]))
 
 
 def scan(docs: DataFrame, field: SecretField, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
