@@ -34,13 +34,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import append_columns, cut, sample_by_hash
+from weftline.llm.common import append_columns, sample_by_hash
 
-SAMPLE_TEXTS = 600
+SAMPLE_TEXTS = 800
 #: Tokens on either side of a match that are learned from; the most windows of one sampled text, so that no text outweighs
 #: the others in training; secrets and look-alikes planted into each text; rounds of training.
 WINDOW, WINDOWS_OF_TEXT, PLANTED, ROUNDS = 14, 20, 2, 60
-MEMO_TOKENS = 200_000
+MEMO_TOKENS = 400_000
+#: Steps of the lead that settled tokens are told apart by.
+STEP = 0.5
 KINDS = ("assign", "access", "hex", "crf")
 
 # The base patterns and the least lengths of what they find.
@@ -59,15 +61,21 @@ TOKEN = re.compile(r"[\w+/\-]+|[^\w\s]")
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 
 
-def base_spans(text: str) -> list[tuple[int, str, int]]:
-    """(start, kind, end) of the fixed patterns, leftmost and non-overlapping for each kind."""
+def base_spans(text: str, distinct: set[str] | None = None) -> list[tuple[int, str, int]]:
+    """(start, kind, end) of the fixed patterns, leftmost and non-overlapping for each kind.
+
+    distinct: the text's different tokens, if they are known; they tell without a look at the text that a pattern cannot match.
+    """
     found = []
-    low = text.lower()
-    if any(k in low for k in KEYWORDS):
-        found += [(m.start(), "assign", m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_VALUE]
+    if ":" in text or "=" in text:
+        low = text.lower()
+        if any(k in low for k in KEYWORDS):
+            found += [(m.start(), "assign", m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= ASSIGN_VALUE]
     if "AKIA" in text:
         found += [(m.start(), "access", m.end()) for m in ACCESS.finditer(text)]
-    found += [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
+    # a run of hexadecimal digits is inside one token
+    if distinct is None or max(map(len, distinct), default=0) >= HEX_LENGTH:
+        found += [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[1])))
 
 
@@ -170,89 +178,182 @@ def viterbi(emit: np.ndarray, moves: np.ndarray, before: int = OUTSIDE, after: i
     return tags[::-1]
 
 
-class _Rows(dict):
-    """Rows of the scanner's table by token."""
-
-    def __init__(self, scanner: Scanner):
-        self.scanner = scanner
-
-    def __missing__(self, token: str) -> int:
-        at = self[token] = self.scanner.place(token)
-        return at
+def lead(vector: np.ndarray) -> float:
+    """By how much outside is ahead."""
+    return float(vector[OUTSIDE] - max(vector[BEGIN], vector[INSIDE]))
 
 
 class Scanner:
-    """Tags texts with one field; remembers what a token adds as the one itself, as the one before and as the one after."""
+    """Tags texts with one field.
+
+    Most tokens are outside wherever they stand: beside ordinary neighbours (words, numbers, and marks that say no less for
+    outside than these and than a full stop or comma) and without a hint before them, their own features are more than all
+    that transitions can change. These are remembered as settled, by what the text's features as a file add (in steps of
+    STEP). Looked at where they stand are the others, and those beside a mark or after a hint that is not ordinary. Of the
+    others some, marks above all, could be inside of a secret but are none by themselves: between two settled tokens they are
+    outside too.
+    """
 
     def __init__(self, field: SecretField):
         self.field = field
-        self.row = _Rows(self)
+        self.settled: dict[int, set[str]] = {}
+        self.alone: dict[int, set[str]] = {}
+        self.ordinary: set[str] = set()
+        self.known: dict[str, int] = {}
         self.alike: dict[tuple, int] = {}
-        self.table = np.zeros((1024, 9 + 3 * (REACH - 1)))
+        self.table = np.zeros((1024, 2 + REACH, 3))
         self.slack = 2 * float(field.moves.max() - field.moves.min())
+        # the least that an ordinary token adds to the lead of outside after it and before it
+        self.before, self.after = (min(lead(field.total([f"{side}:{kind}"])) for kind in ("other", "number", "mark.", "mark,")) for side in ("before", "after"))
+
+    def out_of_the_ordinary(self, distinct: set[str]) -> dict[str, tuple[bool, bool, bool]]:
+        """The tokens that change what stands beside them: (the next one, the one before, those up to REACH after)."""
+        found = {}
+        for token in distinct - self.ordinary:
+            held = self.vectors(token)
+            changes = lead(held[1]) < self.before, lead(held[2]) < self.after, is_hint(token)
+            if any(changes):
+                found[token] = changes
+            else:
+                if len(self.ordinary) > MEMO_TOKENS:
+                    self.ordinary.clear()
+                self.ordinary.add(token)
+        return found
 
-    def rows(self, tokens: list[str]) -> np.ndarray:
-        if len(self.row) > MEMO_TOKENS:
-            self.row.clear()
-            self.alike.clear()
-        return np.fromiter(map(self.row.__getitem__, tokens), np.int64, len(tokens))
-
-    def place(self, token: str) -> int:
-        """The token's row of the table. Tokens with the same features share one."""
-        own = own_features(token)
-        key = (*own, beside_kind(token))
-        at = self.alike.get(key)
+    def row(self, token: str) -> int:
+        """A token's row of the table: what it adds as the one itself, as the one before, as the one after and as a hint further
+        before. Tokens with the same features share one."""
+        at = self.known.get(token)
         if at is None:
-            at = self.alike[key] = len(self.alike)
-            if at >= len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            total = self.field.total
-            self.table[at] = np.concatenate([total(own), total(beside_features(token, "before:")), total(beside_features(token, "after:")), *[total(hint_features(token, d)) for d in range(2, REACH + 1)]])
+            if len(self.known) > MEMO_TOKENS:
+                self.known.clear()
+            own = own_features(token)
+            key = (*own, beside_kind(token))
+            at = self.alike.get(key)
+            if at is None:
+                at = self.alike[key] = len(self.alike)
+                if at == len(self.table):
+                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                total = self.field.total
+                self.table[at] = np.stack([total(own), total(beside_features(token, "before:")), total(beside_features(token, "after:")), *[total(hint_features(token, d)) for d in range(2, REACH + 1)]])
+            self.known[token] = at
         return at
 
-    def emissions(self, tokens: list[str]) -> np.ndarray:
-        held = self.table[self.rows(tokens)]
-        emit = held[:, :3] + self.field.total(file_features(tokens))
-        emit[1:] += held[:-1, 3:6]
-        emit[:-1] += held[1:, 6:9]
-        for d in range(2, REACH + 1):
-            emit[d:] += held[:-d, 3 + 3 * d : 6 + 3 * d]
-        return emit
-
-    def added(self, text: str) -> list[tuple[int, int]]:
+    def vectors(self, token: str) -> np.ndarray:
+        at = self.row(token)
+        return self.table[at]
+
+    def may_be_secret(self, token: str, change: int) -> bool:
+        return lead(self.vectors(token)[0]) + self.before + self.after + change * STEP <= self.slack
+
+    def is_none_alone(self, token: str, change: int) -> bool:
+        """Whether a token that may be a secret is none between two settled ones."""
+        own, moves = self.vectors(token)[0], self.field.moves
+        rest = self.before + self.after + change * STEP
+        return all(own[OUTSIDE] - own[x] + rest > moves[OUTSIDE, x] + moves[x, OUTSIDE] - 2 * moves[OUTSIDE, OUTSIDE] for x in (BEGIN, INSIDE))
+
+    def emissions(self, tokens: list[str], first: int = 0, last: int | None = None, whole: np.ndarray | None = None) -> np.ndarray:
+        """What speaks for each tag of the tokens from first to last."""
+        last = len(tokens) - 1 if last is None else last
+        whole = self.field.total(file_features(tokens)) if whole is None else whole
+        at = min(first, REACH)
+        rows = list(map(self.row, tokens[first - at : last + 2]))
+        held, n = self.table[rows], last - first + 1
+        out = held[at : at + n, 0] + whole
+        for d in range(1, REACH + 1):  # the token d before
+            skip = max(0, d - at)
+            if skip < n:
+                out[skip:] += held[at + skip - d : at + n - d, 1 if d == 1 else 1 + d]
+        after = held[at + 1 : at + 1 + n, 2]
+        out[: len(after)] += after
+        return out
+
+    def added(self, text: str, tokens: list[str] | None = None, distinct: set[str] | None = None) -> list[tuple[int, int]]:
         """(start, end) of each run of tokens tagged as a secret."""
         if not self.field.weights:
             return []
-        tokens = TOKEN.findall(text)
+        tokens = TOKEN.findall(text) if tokens is None else tokens
         if not tokens:
             return []
-        emit = self.emissions(tokens)
-        open_ = np.nonzero(emit[:, OUTSIDE] - np.maximum(emit[:, BEGIN], emit[:, INSIDE]) <= self.slack)[0]
-        if not len(open_):
-            return []
-        tags = np.full(len(tokens), OUTSIDE)
-        for part in np.split(open_, np.nonzero(np.diff(open_) > 1)[0] + 1):
-            tags[part] = viterbi(emit[part], self.field.moves)
-        if (tags == OUTSIDE).all():
+        distinct = set(tokens) if distinct is None else distinct
+        whole = self.field.total(file_features(tokens))
+        change = math.floor(lead(whole) / STEP)
+        odd = distinct - self.settled.setdefault(change, set())
+        alone = self.alone.setdefault(change, set())
+        if odd:
+            settled = {t for t in odd if t not in alone and not self.may_be_secret(t, change)}
+            odd -= settled
+            if sum(map(len, self.settled.values())) > MEMO_TOKENS:
+                self.settled.clear()
+            self.settled.setdefault(change, set()).update(settled)
+            if len(alone) > MEMO_TOKENS:
+                alone.clear()
+            alone.update(t for t in odd if t not in alone and self.is_none_alone(t, change))
+        special = self.out_of_the_ordinary(distinct)
+        n = len(tokens)
+        looked_at = {0, n - 1}  # the first and the last have one neighbour only
+        if special:
+            for i in [i for i, t in enumerate(tokens) if t in special]:
+                next_, previous, hint = special[tokens[i]]
+                looked_at.update(range(max(0, i - previous), min(n, i + 1 + (REACH if hint else next_))))
+        if odd:
+            forced = frozenset(looked_at)
+            for i in [i for i, t in enumerate(tokens) if t in odd]:
+                if tokens[i] in alone and not (i in forced or i - 1 in forced or i + 1 in forced or tokens[i - 1] in odd or tokens[i + 1] in odd):
+                    continue
+                looked_at.add(i)
+        tags, alike, group = {}, {}, []
+        for i in [*sorted(looked_at), n + 1]:
+            if group and i != group[-1] + 1:
+                first, last = group[0], group[-1]
+                # equal surroundings have equal tags: texts with much of the like have few different ones
+                key = first < REACH, last > n - 2, *map(self.row, tokens[max(0, first - REACH) : last + 2])
+                held = alike.get(key)
+                if held is None:
+                    held = alike[key] = self.tags_of(tokens, first, last, whole)
+                tags.update((first + k, tag) for k, tag in held)
+                group = []
+            group.append(i)
+        if not tags:
             return []
         places = [m.span() for m in TOKEN.finditer(text)]
-        found, start = [], None
-        for i, tag in enumerate([*tags.tolist(), OUTSIDE]):
-            if start is not None and tag != INSIDE:
-                found.append((places[start][0], places[i - 1][1]))
+        found, start, last = [], None, None
+        for i in [*sorted(tags), n + 1]:
+            tag = tags.get(i, OUTSIDE)
+            if start is not None and (tag != INSIDE or i != last + 1):
+                found.append((places[start][0], places[last][1]))
                 start = None
             if tag == BEGIN or tag == INSIDE and start is None:
                 start = i
+            last = i
+        return found
+
+    def tags_of(self, tokens: list[str], first: int, last: int, whole: np.ndarray) -> list[tuple[int, int]]:
+        """(place after first, tag) of the tokens from first to last that are not outside; what is beside them is."""
+        emit, moves, found = self.emissions(tokens, first, last, whole), self.field.moves, []
+        open_ = np.nonzero(emit[:, OUTSIDE] - np.maximum(emit[:, BEGIN], emit[:, INSIDE]) <= self.slack)[0]
+        if not len(open_):
+            return found
+        # one alone is decided by itself, and nearly always outside
+        gain = moves[OUTSIDE, :2] + moves[:2, OUTSIDE] - 2 * moves[OUTSIDE, OUTSIDE]
+        apart = np.diff(open_, prepend=-2, append=len(emit) + 1) > 1
+        single = apart[:-1] & apart[1:]
+        settled = single & (emit[open_, OUTSIDE, None] - emit[open_, :2] > gain).all(axis=1)
+        open_ = open_[~settled]
+        for part in np.split(open_, np.nonzero(np.diff(open_) > 1)[0] + 1) if len(open_) else ():
+            found += [(int(k), tag) for k, tag in zip(part, viterbi(emit[part], moves), strict=True) if tag != OUTSIDE]
         return found
 
     def scan(self, text: str | None) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
         """(spans of the patterns, all spans), each by start and kind."""
         if not text:
             return [], []
-        base, more, reach = base_spans(text), [], 0
+        tokens = TOKEN.findall(text)
+        distinct = set(tokens)
+        base, more, reach = base_spans(text, distinct), [], 0
         starts = [x[0] for x in base]
         ends = [reach := max(reach, x[2]) for x in base]  # the furthest end so far
-        for start, end in self.added(text):
+        for start, end in self.added(text, tokens, distinct):
             before = bisect.bisect_left(starts, end)
             if not before or ends[before - 1] <= start:
                 more.append((start, "crf", end))
@@ -439,11 +540,9 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", sample_texts: int = SAMPLE_TEXTS) -> SecretField:
-    """A field from the sample_texts matching and as many other texts whose hashed ids are smallest."""
-    some = F.col(text_col).rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
-    # written once, as the sample reads the flags twice and finding them reads every text
-    flagged = cut(docs.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), some.cast("int").alias("_some")))
-    ids = [r[0] for r in sample_by_hash(flagged, "_id", "_some", sample_texts).select("_id").collect()]
+    """A field from the sample_texts whose hashed ids are smallest; only ids are read to choose them."""
+    known = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.lit(1).alias("_all"))
+    ids = [r[0] for r in sample_by_hash(known, "_id", "_all", sample_texts).select("_id").collect()]
     # of an id that several rows have, one text, so what is fetched is bounded by the sample
     rows = docs.filter(F.col(id_col).isin(ids) & F.col(text_col).isNotNull()).groupBy(id_col).agg(F.min_by(text_col, F.struct(F.xxhash64(text_col), text_col))).collect() if ids else []
     return fit(windows([r[1] for r in sorted(rows, key=lambda r: r[0]) if r[1]]))
