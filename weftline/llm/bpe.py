@@ -31,13 +31,15 @@ from pyspark.sql import DataFrame
 from weftline.llm.common import append_columns
 
 #: Words that a task remembers, in each of two generations, and the longest such word.
-MEMO_WORDS, MEMO_CHARS = 250_000, 64
-#: Verdicts on pairs of tokens that a task remembers.
-MOST_FITS = 1_000_000
+MEMO_WORDS, MEMO_CHARS = 400_000, 64
+#: Verdicts on pairs of tokens, and steps of the automaton, that a task remembers.
+MOST_FITS, MOST_STEPS = 1_000_000, 1_000_000
 #: Below this code point canonical composition changes nothing and both libraries' character classes agree.
 PLAIN_BELOW = 0x300
 #: Marks of which any run is one pre-token by itself; a word and such a run are two.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A full stop or comma beside another mark, below PLAIN_BELOW; others are pre-tokens by themselves.
+BESIDE_MARKS = re.compile(rf"[.,](?:(?=[{(_ := ''.join(re.escape(chr(i)) for i in range(0x21, PLAIN_BELOW) if not chr(i).isalnum() and not chr(i).isspace()))}])|(?<=[{_}].))")
 #: A word of up to so many letters is remembered together with the mark after it; longer ones are put together anew.
 SHORT_WORD = 5
 START = 1 << 30  # stands for the token before the first
@@ -51,11 +53,61 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in set(visible) else chr(next(others)) for b in range(256)]
 
 
+class SuffixAutomaton:
+    """The tokens that are suffixes of what has been read, longest first.
+
+    A trie of the tokens with, for every state, the state of its longest suffix that is in the trie. A step that the trie lacks
+    is taken from that suffix and remembered, so the next one costs a single look-up; a state's tokens are listed with it.
+    """
+
+    def __init__(self):
+        self.steps: list[dict[str, int]] = [{}]
+        self.suffix: list[int] = [0]
+        self.ends: list[tuple[tuple[int, int], ...]] = [()]
+        self.remembered = 0
+
+    def add(self, text: str, token: int) -> None:
+        state = 0
+        for c in text:
+            after = self.steps[state].get(c)
+            if after is None:
+                after = self.steps[state][c] = len(self.steps)
+                self.steps.append({})
+                self.suffix.append(0)
+                self.ends.append(())
+            state = after
+        self.ends[state] = ((token, len(text)),)
+
+    def link(self) -> None:
+        """After the last token: suffix states level by level, so that a shorter text's is known before a longer one's."""
+        level = [(0, c, after) for c, after in self.steps[0].items()]
+        while level:
+            below = []
+            for parent, c, state in level:
+                below += [(state, x, after) for x, after in self.steps[state].items()]
+                at = self.suffix[parent]
+                while parent and c not in self.steps[at] and at:
+                    at = self.suffix[at]
+                self.suffix[state] = self.steps[at].get(c, 0) if parent else 0
+                self.ends[state] += self.ends[self.suffix[state]]
+            level = below
+
+    def step(self, state: int, c: str) -> int:
+        """A step that the trie lacks."""
+        at = state
+        while at and c not in self.steps[at]:
+            at = self.suffix[at]
+        after = self.steps[at].get(c, 0)
+        if self.remembered < MOST_STEPS:
+            self.remembered += 1
+            self.steps[state][c] = after
+        return after
+
+
 class WordBpe:
     """The encoder and decoder of one vocabulary file."""
 
     def __init__(self, path: str):
-        import ahocorasick
         import regex
         from tokenizers import Tokenizer
 
@@ -86,14 +138,12 @@ class WordBpe:
         self.fits: dict[int, dict[int, bool]] = {i: {} for i in vocab.values()}
         self.n_fits = 0
         self.whole: dict[int, bool] = {}
-        self.automaton = ahocorasick.Automaton()
+        self.automaton = SuffixAutomaton()
         for text, i in vocab.items():
-            if not self.reachable(i):
-                continue
-            inner = text.removesuffix(suffix)
-            whole = inner + END * (text != inner)
-            self.automaton.add_word(whole, (i, len(whole)))
-        self.automaton.make_automaton()
+            if self.reachable(i):
+                inner = text.removesuffix(suffix)
+                self.automaton.add(inner + END * (text != inner), i)
+        self.automaton.link()
         self.fits[START] = dict.fromkeys(vocab.values(), True)  # any token may come first
         self.memo, self.ids = _Memo(self, {}), _Ids(self, {})
 
@@ -153,15 +203,25 @@ class WordBpe:
     def encode_word(self, word: str) -> list[int]:
         """The ids of one pre-token, written in the byte alphabet."""
         n, fits, compatible = len(word), self.fits, self.compatible
+        steps, ends, step = self.automaton.steps, self.automaton.ends, self.automaton.step
         # by prefix length, the word's end counting as one more: the encoding's last token and that token's length
         last, size = [-1] * (n + 2), [0] * (n + 2)
-        last[0], last[n] = START, 0  # the whole word without its end is not looked for
-        for at, (token, length) in self.automaton.iter(word + END):
-            end = at + 1
-            if last[end] < 0 and (before := last[end - length]) >= 0:
-                found = fits[before].get(token)
-                if compatible(before, token) if found is None else found:
-                    last[end], size[end] = token, length
+        last[0], end, state = START, 0, 0
+        for c in word + END:
+            end += 1
+            after = steps[state].get(c)
+            state = step(state, c) if after is None else after
+            if end == n:  # the whole word without its end is not looked for
+                continue
+            for token, length in ends[state]:
+                before = last[end - length]
+                if before >= 0:
+                    found = fits[before].get(token)
+                    if compatible(before, token) if found is None else found:
+                        last[end], size[end] = token, length
+                        break
+        if last[end] < 0:
+            raise ValueError(f"no token of the vocabulary ends {word!r}")
         ids, at = [], n + 1
         while at:
             ids.append(last[at])
@@ -184,6 +244,15 @@ class WordBpe:
                 return self.exotic.search(text) is None
         return not any(c in text for c in self.separators)
 
+    @staticmethod
+    def runs(text: str) -> list[str]:
+        """The lower-cased runs of a plain text between white space; full stops and commas are runs of their own where they stand
+        alone in the whole text, so that words are remembered without them."""
+        low = text.lower()
+        if BESIDE_MARKS.search(low) is None:
+            low = low.replace(".", " . ").replace(",", " , ")
+        return low.split()
+
     def _pieces(self, text: str):
         """(packed ids, decoded text) of each run of pre-tokens."""
         if len(self.memo) > MEMO_WORDS:
@@ -191,7 +260,7 @@ class WordBpe:
         if not self.plain(text):
             inner = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
             return [self.entry(word) for word, _ in inner]
-        return list(map(self.memo.__getitem__, text.lower().split()))
+        return list(map(self.memo.__getitem__, self.runs(text)))
 
     def entry(self, mapped: str) -> tuple[bytes, str]:
         ids = self.encode_word(mapped)
@@ -218,7 +287,7 @@ class WordBpe:
             return b"".join([ids for ids, _ in self.pieces(text)])
         if len(self.ids) > MEMO_WORDS:
             self.ids.older, self.ids = None, _Ids(self, self.ids)
-        return b"".join(map(self.ids.__getitem__, text.lower().split()))
+        return b"".join(map(self.ids.__getitem__, self.runs(text)))
 
     def encode(self, text: str | None) -> list[int]:
         packed = self.packed(text)
