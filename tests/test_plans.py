@@ -1,7 +1,10 @@
 from collections import defaultdict
 
+import pytest
+
 from weftline.operators import blocking
 from weftline.plans.queries import QUERIES
+from weftline.schemas import KEY_TYPES
 from weftline.sources import catalogue
 
 SMALL = "/root/testdata/sf0.01"
@@ -22,16 +25,32 @@ def brute_force(spark, phonetic: bool, cap: int) -> set[tuple[str, str]]:
     return {(x, y) for x, found in by_a.items() for _, y in sorted(found)[:cap]}
 
 
-def test_fuzzy_features_have_every_candidate_up_to_the_operators_cap(spark):
-    found = {(r[0], r[1]) for r in QUERIES["pair_features_fuzzy"](spark, SMALL).select("a_id", "b_id").collect()}
-    assert brute_force(spark, False, blocking.CAP) <= found
-    assert len(found) > len(brute_force(spark, False, 5))
+def test_the_proxy_has_records_for_every_key(spark):
+    kinds = {r[0] for r in QUERIES["block_keys_phonetic"](spark, SMALL).select("key_type").distinct().collect()}
+    assert kinds == set(KEY_TYPES)
+    a, _ = catalogue.sides(spark, SMALL)
+    various = a.filter("is_various_artists")
+    assert various.count() > 5 and {r[0] for r in blocking.key_frame(various).select("key_type").distinct().collect()} == {"k_title3", "k_title_sorted"}
+
+
+@pytest.mark.parametrize("name, phonetic", [("pair_features_fuzzy", True), ("block_candidates", False), ("block_candidates_phonetic", True)])
+def test_candidates_are_all_up_to_the_cap(spark, name, phonetic):
+    found = {(r["a_id"], r["b_id"]): r["block_keys"] for r in QUERIES[name](spark, SMALL).select("a_id", "b_id", "block_keys").collect()}
+    assert set(found) == brute_force(spark, phonetic, blocking.CAP)
+    assert ("k_phonetic" in found.values()) == phonetic  # shared by nothing else
+
+
+def test_a_small_cap_keeps_the_best(spark):
+    a, b = catalogue.sides(spark, SMALL)
+    assert {(r["a_id"], r["b_id"]) for r in blocking.candidates(a, b, 3).collect()} == brute_force(spark, False, 3)
+    over = blocking.overflow(blocking.union_pairs(blocking.pair_keys(blocking.key_frame(a), blocking.key_frame(b))), 3).first()
+    assert over["a_over_cap"] > 0 and over["pairs_dropped"] == len(brute_force(spark, False, 10**6)) - len(brute_force(spark, False, 3))
 
 
-def test_fuzzy_features_have_the_phonetic_candidates(spark):
-    found = {(r["a_id"], r["b_id"]): r["block_keys"] for r in QUERIES["pair_features_fuzzy"](spark, SMALL).select("a_id", "b_id", "block_keys").collect()}
-    assert set(found) == brute_force(spark, True, blocking.CAP)
-    assert "k_phonetic" in found.values()  # shared by nothing else
+def test_completeness_with_the_phonetic_key(spark):
+    got = {r["measure"]: r["found"] for r in QUERIES["pair_completeness_phonetic"](spark, SMALL).collect()}
+    links = {(r["a_id"], r["b_id"]) for r in catalogue.links(spark, SMALL).collect()}
+    assert got["after_cap"] == len(links & brute_force(spark, True, blocking.CAP)) and got["k_phonetic"] > 0
 
 
 def test_the_learned_method_has_the_references_size(spark, monkeypatch):

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from weftline import sinks
-from weftline.operators import assertions
-from weftline.plans import build, warehouse
+from weftline.operators import assertions, blocking, evaluate
+from weftline.plans import build, report, warehouse
 from weftline.sources import catalogue, dumps
 
 
@@ -129,10 +129,31 @@ def test_warehouse_without_artifacts(spark, tmp_path):
 
 
 def test_build(spark, tmp_path):
-    results = build.run(spark, "/root/testdata/sf0.001", str(tmp_path), learned=False)
+    results = build.run(spark, "/root/testdata/sf0.01", str(tmp_path), learned=False)
     assert set(results) == {"exact_v1", "rules_v1"}
-    assert json.loads((tmp_path / "run.json").read_text())["rows"] > 0
-    assert spark.read.parquet(str(tmp_path / "features")).filter(F.col("fold") == "test").count() >= 0
+    read = lambda name: json.loads((tmp_path / name).read_text())
+    manifest, blocked, split = read("manifest.json"), read("blocking_report.json"), read("split.json")
+    assert manifest["rows"] == blocked["candidate_pairs_after_cap"] == sum(f["candidate_pairs"] for f in split["folds"].values()) > 0
+    assert set(manifest["runtime"]) == {"load", "truth", "sample", "contracts", "truth_audit", "blocking", "split", "features", "exact_v1", "rules_v1"}
+    assert read("truth_audit.json")["truth_in_sample"] > 0 and all(c["name"] for c in read("contracts.json")["a"])
+    assert spark.read.parquet(str(tmp_path / "features")).filter(F.col("fold") == "test").count() == split["folds"]["test"]["candidate_pairs"]
+    # what it publishes is what the warehouse reads
+    made = warehouse.build(spark, str(tmp_path))
+    wide = {r["method_version"]: r for r in made["fct_eval_metrics"].collect()}
+    assert wide["rules_v1"]["coverage_all_folds"] == results["rules_v1"]["coverage_all_folds"] and wide["rules_v1"]["ece"] is not None
+    assert made["fct_review_queue"].count() == 2 * 50 * 3 and made["slv_eval_folds"].count() == 6 and made["dim_source"].count() == 2
+    assert made["fct_mapping"].count() == sum(read(f"methods/{m}.json")["mapping"]["test_rows"] for m in results)
+    assert {r["check_name"] for r in made["brz_contracts"].collect()} >= {"grain_unique", "year_range"}
+    # values of the run are read again, others are computed anew, or not to be had
+    features = spark.read.parquet(str(tmp_path / "features"))
+    for run_id, method, there in ((manifest["run_id"], "rules_v1", True), ("other", "rules_v1", True), ("other", "learned_v1", False)):
+        values = build.decision_values(spark, str(tmp_path), run_id, method, features)
+        assert (values is not None) == there and (not there or values.count() == manifest["rows"])
+    again = build.run(spark, "/root/testdata/sf0.01", str(tmp_path / "again"), learned=False)
+    assert evaluate.unequal(again, results) == [] and not [d for d in report.differences(str(tmp_path), str(tmp_path / "again")) if "again/" not in d]
+    with pytest.raises(blocking.TooManyPairs):
+        build.run(spark, "/root/testdata/sf0.001", str(tmp_path / "gated"), learned=False, gate=1)
+    assert not (tmp_path / "gated/features").exists()
 
 
 def test_entry(spark):

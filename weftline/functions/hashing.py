@@ -41,6 +41,40 @@ def content_hash(df: DataFrame) -> str:
     return df.sparkSession.range(1).select(F.sha2(F.lit("|".join(map(str, got))), 256)).first()[0]
 
 
+def index_hash(pairs: DataFrame, a: str = "a_id", b: str = "b_id") -> str:
+    """The SHA-256 of the sorted lines a|b: names a set of pairs whatever their order.
+
+    The lines are sorted on the executors and pass the driver one partition at a time.
+    """
+    return _lines_hash(pairs.select(F.concat_ws("|", F.col(a), F.col(b)).alias("line")))
+
+
+def id_order_hash(ids: DataFrame, column: str = "a_id") -> str:
+    """The SHA-256 of the ids in ascending order, a line each."""
+    return _lines_hash(ids.select(F.col(column).alias("line")))
+
+
+def _lines_hash(lines: DataFrame) -> str:
+    import hashlib
+
+    digest, first = hashlib.sha256(), True
+    for (line,) in lines.orderBy("line").toLocalIterator():
+        digest.update(line.encode() if first else b"\n" + line.encode())
+        first = False
+    return digest.hexdigest()
+
+
+def sorted_digest(df: DataFrame) -> str:
+    """A hash of a frame's content: rows as text (lists joined by 0x1F, null as 0x00), sorted by all columns, hashed one after
+    another. Sorting makes it independent of row order, and unlike content_hash() it is that of the rows themselves."""
+    cells = []
+    for c in sorted(df.columns):
+        kind = df.schema[c].dataType.typeName()
+        text = F.array_join(F.col(f"`{c}`").cast("array<string>"), "\x1f", "\x00") if kind == "array" else F.to_json(F.col(f"`{c}`")) if kind in ("struct", "map") else F.col(f"`{c}`").cast("string")
+        cells.append(F.coalesce(text, F.lit("\x00")))
+    return _lines_hash(df.select(F.sha2(F.array_join(F.array(*cells), "\x1e"), 256).alias("line")))
+
+
 def threshold_fraction(threshold: str) -> float:
     """A 64-digit hexadecimal threshold as a share of all hashes."""
     return int(threshold, 16) / 2**256

@@ -1,7 +1,10 @@
 """Normalisation of titles and artist credits as column expressions.
 
-All of it stays in the JVM. Marks are stripped by a character table that a rule makes (compatibility decomposition without
-combining marks) for code points below U+0250; for text beyond that range exact_basic() does the same by Arrow batches.
+Marks are stripped by character tables that a rule makes from the Unicode data: compatibility decomposition without
+combining marks, for every character that decomposes into one; those below U+0250 that decompose into several are replaced
+one by one. What is left, characters beyond that decompose into several (ligatures, Hangul, fractions and the like), is
+spelled out first by an Arrow function that sees only the texts with such characters (spelled_out()). All else stays in the
+JVM, case folding too: lower case and the few letters in which folding differs from it.
 """
 
 from __future__ import annotations
@@ -23,50 +26,95 @@ VARIOUS_CREDITS = ("various", "various artists", "va", "v/a")
 VARIOUS = "various"
 APOSTROPHES = "'’‘ʼ"
 TABLE_BELOW = 0x250
+#: What case folding does beyond lower case: the tables are for text without marks, which has no other such letters.
+FOLDED = (("ß", "ss"), ("ς", "σ"))
+
+
+def _base(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
 
 
 @cache
 def mark_table() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """(characters, their bases, longer replacements) for the code points below TABLE_BELOW."""
+    """(characters, their bases, longer replacements below TABLE_BELOW)."""
     plain, bases, longer = "", "", []
-    for c in map(chr, range(0xA0, TABLE_BELOW)):
-        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if base == c:
+    for c in map(chr, range(0xA0, 0x30000)):
+        base = c if 0xD800 <= ord(c) < 0xE000 else _base(c)
+        if base == c or not base:
             continue
         if len(base) == 1:
             plain, bases = plain + c, bases + base
-        else:
+        elif ord(c) < TABLE_BELOW:
             longer.append((c, base))
     return plain, bases, tuple(longer)
 
 
+def char_class(codes: list[int]) -> str:
+    """A regular expression's class of code points, as ranges."""
+    out, i = "", 0
+    while i < len(codes):
+        j = i
+        while j + 1 < len(codes) and codes[j + 1] == codes[j] + 1:
+            j += 1
+        out += f"\\x{{{codes[i]:x}}}" + (f"-\\x{{{codes[j]:x}}}" if j > i else "")
+        i = j + 1
+    return f"[{out}]"
+
+
+@cache
+def combining() -> str:
+    """The class of all combining marks, and of the characters that decompose into such marks alone."""
+    return char_class([i for i in range(0x300, 0x30000) if not 0xD800 <= i < 0xE000 and not _base(chr(i))])
+
+
+@cache
+def several() -> str:
+    """The class of the characters from TABLE_BELOW on that decompose into several."""
+    return char_class([i for i in range(TABLE_BELOW, 0x30000) if not 0xD800 <= i < 0xE000 and len(_base(chr(i))) > 1])
+
+
 def strip_marks(text: Column) -> Column:
+    """Compatibility decomposition without combining marks, of text that is spelled_out()."""
     plain, bases, longer = mark_table()
     out = F.translate(text, plain, bases)
-    several = "".join(c for c, _ in longer)
+    low = "".join(c for c, _ in longer)
     # most texts hold none of these
     replaced = out
     for c, base in longer:
         replaced = F.replace(replaced, F.lit(c), F.lit(base))
-    marked = F.when(out.rlike(f"[{several}]"), F.regexp_replace(replaced, r"\p{Mn}", "")).otherwise(F.regexp_replace(out, r"\p{Mn}", ""))
+    marks = combining()
+    marked = F.regexp_replace(F.when(out.rlike(f"[{low}]"), replaced).otherwise(out), marks, "")
     # a scan for any character beyond ASCII is far cheaper than looking each one up
     return F.when(text.rlike(r"[^\x00-\x7F]"), marked).otherwise(text)
 
 
+@F.pandas_udf(T.StringType())
+def _spelled(text: pd.Series) -> pd.Series:
+    return text.map(_base, na_action="ignore")
+
+
+def spelled_out(text: Column) -> Column:
+    """text, with its marks stripped if it has a character that decomposes into several: the only texts that reach Python."""
+    some = text.rlike(several())
+    return F.when(some, _spelled(F.when(some, text))).otherwise(text)
+
+
 def strip_punctuation(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, f"[{APOSTROPHES}]", ""), r"[\p{P}\p{S}]", " ")
 
 
 def basic(text: Column) -> Column:
     """Marks stripped, case folded, `&` written out, punctuation and runs of white space to one space."""
-    folded = F.replace(F.lower(strip_marks(text)), F.lit("ß"), F.lit("ss"))
+    folded = F.lower(strip_marks(text))
+    for letter, written in FOLDED:
+        folded = F.replace(folded, F.lit(letter), F.lit(written))
     worded = F.replace(folded, F.lit("&"), F.lit(" and "))
     return F.trim(F.regexp_replace(strip_punctuation(worded), r"[\s\p{Z}]+", " "))
 
 
 def basic_text(text: str) -> str:
     """basic() of one string, for any code point."""
-    marked = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).casefold().replace("&", " and ")
+    marked = _base(text).casefold().replace("&", " and ")
     spaced = ("" if c in APOSTROPHES else " " if unicodedata.category(c)[0] in "PS" else c for c in marked)
     return " ".join("".join(spaced).split())
 
@@ -128,9 +176,11 @@ def normalize_frame(df: DataFrame, phonetic: bool = False) -> DataFrame:
     phonetic: also the two metaphone columns (null without it). They are computed for the different first words only and
     joined back, since there are far fewer words than records.
     """
-    text, credit = F.coalesce("title", F.lit("")), F.coalesce("artist_credit", F.lit(""))
+    df = df.withColumns({"_title": spelled_out(F.coalesce("title", F.lit(""))), "_credit": spelled_out(F.coalesce("artist_credit", F.lit("")))})
+    text, credit = F.col("_title"), F.col("_credit")
     out = df.withColumns({"title_norm": title(text), "title_norm_full": basic(text), "title_qualifiers": qualifiers(text), "artist_norm": artist(credit), "artist_norm_full": artist_full(credit), "year_norm": F.col("year").cast("int"), "is_various_artists": is_various(credit)})
     out = out.withColumns({"title_tokens": tokens(F.col("title_norm")), "artist_tokens": tokens(F.col("artist_norm")), "is_self_titled": (F.col("title_norm") != "") & (F.col("title_norm").eqNullSafe(F.col("artist_norm")) | F.col("title_norm").eqNullSafe(F.col("artist_norm_full")))})
+    out = out.drop("_title", "_credit")
     if not phonetic:
         return out.withColumns({"title_metaphone": F.lit(None).cast("string"), "artist_metaphone": F.lit(None).cast("string")})
     first = {side: F.element_at(F.split(F.col(f"{side}_norm"), " "), 1) for side in ("title", "artist")}

@@ -134,10 +134,13 @@ def policy_table(spark, policies: list[Policy]) -> DataFrame:
 
 
 def legacy_sweep(rows: DataFrame, baseline: Policy, thresholds: list[float]) -> DataFrame:
-    """(threshold, accepts, queue_floor, queue_ambiguity, review_queue) with the baseline's demotions at every threshold."""
-    flagged = rows.filter("v1 is not null").withColumns(decision_columns(F.lit(baseline.accept_min), F.lit(baseline.review_min), F.lit(baseline.ambiguity_gap))).groupBy("v1", "demoted").agg(F.count(F.lit(1)).alias("w"))
+    """(threshold, accepts, queue_floor, queue_ambiguity, review_queue, labelled_accepts, correct) with the baseline's demotions
+    at every threshold."""
+    keys = ("v1", "demoted", "labelled", "top1_correct")
+    flagged = rows.filter("v1 is not null").withColumns(decision_columns(F.lit(baseline.accept_min), F.lit(baseline.review_min), F.lit(baseline.ambiguity_gap))).groupBy(*keys).agg(F.count(F.lit(1)).alias("w"))
     points = rows.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
-    v, t, w = F.col("v1"), F.col("threshold"), F.col("w")
+    v, t, w, lab = F.col("v1"), F.col("threshold"), F.col("w"), F.col("labelled")
+    accept = (v >= t) & ~F.col("demoted")
     total = lambda c: F.sum(F.when(c, w).otherwise(0))
-    out = flagged.crossJoin(F.broadcast(points)).groupBy("threshold").agg(total((v >= t) & ~F.col("demoted")).alias("accepts"), total((v >= baseline.review_min) & (v < t)).alias("queue_floor"), total((v >= t) & F.col("demoted")).alias("queue_ambiguity"))
+    out = flagged.crossJoin(F.broadcast(points)).groupBy("threshold").agg(total(accept).alias("accepts"), total((v >= baseline.review_min) & (v < t)).alias("queue_floor"), total((v >= t) & F.col("demoted")).alias("queue_ambiguity"), total(accept & lab).alias("labelled_accepts"), total(accept & lab & F.coalesce("top1_correct", F.lit(False))).alias("correct"))
     return out.withColumn("review_queue", F.col("queue_floor") + F.col("queue_ambiguity"))

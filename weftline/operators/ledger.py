@@ -131,15 +131,56 @@ def summary(state: DataFrame, cases: DataFrame, baseline: DataFrame | None = Non
     return held.agg(F.count(F.lit(1)).alias("cases"), F.count_if(acc).alias("accepted"), F.count_if(defd).alias("deferred"), F.count_if(rej).alias("rejected_candidate_only"), F.count_if(~acc & ~defd & ~rej).alias("untouched"), changed.alias("changed_mappings"), F.count_if(rej).alias("unresolved_evidence"))
 
 
+def numbered(new: DataFrame, last: int) -> DataFrame:
+    """new with seq counted on from last in the order it has now: rows are counted by ranges of that order first, so no task
+    holds more than one range."""
+    parts = new.repartitionByRange("seq").withColumn("_p", F.spark_partition_id())
+    sizes = parts.groupBy("_p").count()
+    before = sizes.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each range
+    own = Window.partitionBy("_p").orderBy("seq")
+    return parts.withColumn("_n", F.row_number().over(own)).join(F.broadcast(before), "_p").withColumn("seq", (F.col("_n") + F.col("_before") + last).cast("long")).drop("_p", "_n", "_before")
+
+
 def append(events: DataFrame, new: DataFrame, snapshot_id: str) -> DataFrame:
     """The log with new events, numbered on from its end, if the whole still holds."""
     last = events.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-    order = Window.orderBy("seq")
-    out = events.unionByName(new.withColumn("seq", (F.row_number().over(order) + last).cast("long")))
+    out = events.unionByName(numbered(new, last).select(*events.columns))
     check(out, snapshot_id)
     return out
 
 
+def undo(events: DataFrame, event_id: str, new_id: str, at: str) -> DataFrame:
+    """The log with an undo of one of its events at its end, if that may be undone."""
+    target = events.filter(F.col("event_id") == event_id)
+    made = target.select(*[{"event_id": F.lit(new_id), "action": F.lit("undo"), "reverses_event_id": F.lit(event_id), "occurred_at_utc": F.lit(at)}.get(c, F.col(c) if c in (*CASE, "seq", "snapshot_id", "method_version") else F.lit(None).cast(events.schema[c].dataType)).alias(c) for c in events.columns])
+    snapshot = events.select("snapshot_id").first()
+    if snapshot is None or made.isEmpty():
+        raise LedgerError(f"no event {event_id!r} to undo")
+    return append(events, made, snapshot[0])
+
+
+def import_events(events: DataFrame, given: DataFrame, snapshot: tuple[str, str], given_snapshot: tuple[str, str]) -> tuple[DataFrame, dict]:
+    """(the log, what became of the import). A snapshot is its id and its analytical digest.
+
+    Nothing of a log from other evidence, of one that breaks its own rules, or of one that would break the whole is taken: it
+    is put in quarantine, described but not applied. Events whose id the log has are passed over; the others are numbered on.
+    """
+    quarantine = {"snapshot_id": given_snapshot[0], "analytical_digest": given_snapshot[1], "event_count": given.count()}
+    missing = [c for c in events.columns if c not in given.columns]
+    if missing:
+        return events, {"status": "rejected", "reason": "corrupt", "message": f"columns missing: {', '.join(missing)}", "quarantine": quarantine}
+    other = given_snapshot != snapshot or not given.filter(~F.col("snapshot_id").eqNullSafe(F.lit(snapshot[0]))).isEmpty()
+    if other:
+        return events, {"status": "rejected", "reason": "incompatible_snapshot", "message": "made from other evidence", "quarantine": quarantine}
+    new = given.select(*events.columns).join(events.select("event_id"), "event_id", "left_anti").select(*events.columns)
+    try:
+        check(given, snapshot[0])
+        merged = append(events, new, snapshot[0])
+    except LedgerError as e:
+        return events, {"status": "rejected", "reason": "invalid_ledger", "message": str(e), "quarantine": quarantine}
+    return merged, {"status": "ok", "imported": new.count(), "quarantine": None}
+
+
 def consequences(state: DataFrame, baseline: DataFrame) -> DataFrame:
     """(a_id, consequence): what decisions change against the baseline choice."""
     held = state.join(baseline.select("a_id", F.col("b_id").alias("base_b_id")), "a_id", "left")

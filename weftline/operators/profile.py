@@ -82,3 +82,39 @@ def examples(classified: DataFrame, most: int = 15) -> DataFrame:
     order = Window.partitionBy("pattern").orderBy("pair_hash")
     ranked = classified.filter("pattern <> 'identical'").select("pattern", pair_hash(F.col("a_id"), F.col("b_id")).alias("pair_hash")).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most)
     return ranked.join(counts, "pattern").orderBy("_n", F.desc("_c"), "pattern").limit(most).select("pattern", "pair_hash")
+
+
+def shares(side: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """One row: total, and the share of records that each condition holds for, null in an empty catalogue."""
+    return side.agg(F.count(F.lit(1)).alias("total"), *[(F.count_if(F.coalesce(c, F.lit(False))) / F.when(F.count(F.lit(1)) > 0, F.count(F.lit(1)))).alias(name) for name, c in conditions.items()])
+
+
+def masters_extras(masters: DataFrame) -> DataFrame:
+    """What only the catalogue of masters has: numbered credits, main releases, genres, several artists."""
+    numbered = strip_disambiguator(F.col("artist_credit")) != F.col("artist_credit")
+    return shares(masters, {"numeric_disambiguator_share": numbered, "main_release_present": F.col("main_release").isNotNull(), "genres_present": F.col("n_genres") > 0, "multi_artist_credit_share": F.col("n_artists") > 1})
+
+
+def groups_extras(groups: DataFrame) -> DataFrame:
+    """(measure, value, n) of the catalogue of release groups: records by type, and by how many links they have."""
+    types = groups.groupBy(F.coalesce("primary_type", F.lit("none")).alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("primary_type").alias("measure"), "value", "n")
+    links = groups.groupBy(F.least("n_links", F.lit(3)).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("links").alias("measure"), F.when(F.col("value") == "3", "3 or more").otherwise(F.col("value")).alias("value"), "n")
+    return types.unionByName(links)
+
+
+def links_extras(links: DataFrame, groups: DataFrame, masters: DataFrame) -> DataFrame:
+    """(measure, value, n) of the links: by their type, how many name a record that is there, and how many records several name."""
+    a, b = groups.select(F.col("native_id").alias("a_id")).distinct(), masters.select(F.col("native_id").alias("b_id")).distinct()
+    out = links.groupBy(F.coalesce("link_type", F.lit("none")).alias("value")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("link_type").alias("measure"), "value", "n")
+    held = links.select("a_id", "b_id").distinct()
+    count = lambda df, measure, value: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(measure).alias("measure"), F.lit(value).alias("value"), "n")
+    out = out.unionByName(count(held, "distinct", "links")).unionByName(count(held.join(b, "b_id", "left_anti"), "dead", "b")).unionByName(count(held.join(a, "a_id", "left_anti"), "dead", "a"))
+    for side in ("a", "b"):
+        several = held.groupBy(f"{side}_id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+        out = out.unionByName(count(several, "several", side))
+    return out
+
+
+def items_extras(items: DataFrame) -> DataFrame:
+    """One row: of flattened items, the shares with a year, a class and performers, and with several performers."""
+    return shares(items, {"year_present": F.col("year").isNotNull(), "class_present": F.col("class").isNotNull(), "performers_present": F.col("performers") != "", "several_performers": F.col("performers").contains("; ")})

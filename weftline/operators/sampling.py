@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,11 +25,19 @@ def unlinked_wanted(linked: int, unlinked_share: float) -> int:
 def threshold(pool: DataFrame, n: int, hash_col: str = "membership_hash") -> str:
     """The n-th smallest hash of the pool, of the largest if there are fewer; zeros for n = 0.
 
-    One pass of the top-n operator; the n rows stay on the executors.
+    Hashes are counted by their first four digits; then only those that share the digits of the n-th are sorted, a 65,536th of
+    the pool, as hashes are spread evenly. So no task sorts a number of rows that grows as n does.
     """
     if n <= 0:
         return NO_THRESHOLD
-    return pool.select(hash_col).orderBy(hash_col).limit(n).agg(F.max(hash_col)).first()[0] or NO_THRESHOLD
+    counts = {r["p"]: r["c"] for r in pool.groupBy(F.substring(hash_col, 1, 4).alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()}  # 65,536 rows at most
+    before = 0
+    for prefix in sorted(counts):
+        if before + counts[prefix] >= n or prefix == max(counts):
+            rest = min(n - before, counts[prefix])
+            return pool.filter(F.substring(hash_col, 1, 4) == prefix).select(hash_col).orderBy(hash_col).limit(rest).agg(F.max(hash_col)).first()[0]
+        before += counts[prefix]
+    return NO_THRESHOLD
 
 
 def side_sample(side: DataFrame, source: str, linked_ids: DataFrame, n_unlinked: int, pool: DataFrame | None = None) -> tuple[DataFrame, str]:
@@ -54,10 +64,20 @@ def pools(a: DataFrame, b: DataFrame, links: DataFrame, scope: str) -> tuple[Dat
     return pool_a, pool_b
 
 
+def last_year_of(today: date) -> int:
+    """The latest year that a record may have: the next one."""
+    return today.year + 1
+
+
 def without_wild_years(df: DataFrame, last_year: int) -> DataFrame:
     return df.withColumn("year", F.when(F.col("year").between(FIRST_YEAR, last_year), F.col("year")))
 
 
+def wild_years(df: DataFrame, last_year: int) -> DataFrame:
+    """One row: how many years without_wild_years() takes away."""
+    return df.agg(F.count_if(F.col("year").isNotNull() & ~F.col("year").between(FIRST_YEAR, last_year)).alias("years_nulled"))
+
+
 def with_fold(df: DataFrame, id_col: str = "native_id") -> DataFrame:
     return df.withColumn("fold", fold_of(F.col(id_col)))
 

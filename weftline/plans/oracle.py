@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from weftline.functions.hashing import WORD_WEIGHTS
 from weftline.functions.normalize import ARTICLES, QUALIFIERS
+from weftline.operators.blocking import CAP
 from weftline.operators.evaluate import BIN_EDGES
 
-CAP = 5
 SCOPE = "en"
 
 
 def basic(t: str) -> str:
-    return rf"trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(lower(strip_accents({t})), 'ß', 'ss'), '&', ' and '), '[''’‘ʼ]', '', 'g'), '[\p{{P}}\p{{S}}]', ' ', 'g'), '[\s\p{{Z}}]+', ' ', 'g'))"
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(lower(strip_accents({t})), 'ß', 'ss'), 'ς', 'σ'), '&', ' and '), '[''’‘ʼ]', '', 'g'), '[\p{{P}}\p{{S}}]', ' ', 'g'), '[\s\p{{Z}}]+', ' ', 'g'))"
 
 
 ARTICLE = "|".join(ARTICLES)
@@ -37,7 +37,7 @@ def title(t: str) -> str:
 
 def normalized(source: str) -> str:
     return f"""SELECT *, {title("title")} AS title_norm, {basic("title")} AS title_norm_full, {artist("artist_credit")} AS artist_norm, {artist_full("artist_credit")} AS artist_norm_full,
-    {various("artist_credit")} AS is_various_artists, len(regexp_extract_all(strip_accents(title), '{QUALIFIED}')) AS n_qualifiers FROM {source}"""
+    {various("artist_credit")} AS is_various_artists, len(regexp_extract_all(strip_accents(title), '{QUALIFIED}')) AS n_qualifiers, list_transform(regexp_extract_all(strip_accents(title), '{QUALIFIED}'), lambda q: {basic("q")}) AS quals FROM {source}"""
 
 
 def bucket(x: str) -> str:
@@ -50,14 +50,17 @@ def fold(x: str) -> str:
 
 # every expression by name, with those it needs
 PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
-    "w": (r"SELECT doc_id, lang, n_chars, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents", ()),
+    "w": (r"SELECT doc_id, lang, n_chars, doc_id // 2 AS n, list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents", ()),
     "rec": (
-        "SELECT CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS side, CAST(doc_id AS VARCHAR) AS native_id, array_to_string(w[1:6], ' ') AS title, array_to_string(w[7:8], ' ') AS artist_credit, "
-        "CAST(1900 + (n_chars // 25) % 120 AS INTEGER) AS year, lang AS primary_type, lang || '|' || array_to_string(w[9:20], ' ') AS truth_key FROM w WHERE len(w) >= 20",
+        "SELECT CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS side, CAST(doc_id AS VARCHAR) AS native_id, "
+        "CASE WHEN n % 13 = 4 AND n % 17 <> 3 AND n % 17 <> 5 THEN cr WHEN n % 11 = 2 THEN ti || ' [Deluxe Edition]' WHEN n % 11 = 6 THEN 'Ёлка й ' || ti WHEN n % 11 = 8 THEN 'Ἀθήνα ' || ti ELSE ti END AS title, "
+        "CASE WHEN n % 17 = 3 THEN 'Various Artists' WHEN n % 17 = 5 THEN 'V/A' WHEN n % 7 = 1 THEN cr || ', The' WHEN n % 7 = 2 THEN 'The ' || cr || ' (2)' WHEN n % 7 = 4 THEN 'Đặng ' || cr ELSE cr END AS artist_credit, "
+        "CAST(1900 + (n_chars // 25) % 120 AS INTEGER) AS year, lang AS primary_type, CASE WHEN len(w) >= 20 THEN coalesce(lang, '') || '|' || array_to_string(w[9:20], ' ') END AS truth_key "
+        "FROM (SELECT *, array_to_string(w[1:6], ' ') AS ti, array_to_string(w[7:8], ' ') AS cr FROM w)",
         ("w",),
     ),
     "nr0": (normalized("rec"), ("rec",)),
-    "nr": ("SELECT *, list_sort(list_distinct(string_split(title_norm, ' '))) AS tokens, title_norm <> '' AND (title_norm = artist_norm OR title_norm = artist_norm_full) AS is_self_titled FROM nr0", ("nr0",)),
+    "nr": ("SELECT *, list_sort(list_distinct(list_filter(string_split(title_norm, ' '), lambda x: x <> ''))) AS tokens, title_norm <> '' AND (title_norm = artist_norm OR title_norm = artist_norm_full) AS is_self_titled FROM nr0", ("nr0",)),
     "truth": ("SELECT DISTINCT a.native_id AS a_id, b.native_id AS b_id FROM rec a JOIN rec b ON a.side = 'a' AND b.side = 'b' AND a.truth_key = b.truth_key", ("rec",)),
     "keys": (
         "SELECT side, native_id, 'k_title3' AS key_type, array_to_string(string_split(title_norm, ' ')[1:3], ' ') AS key FROM nr WHERE title_norm <> '' "
@@ -71,7 +74,7 @@ PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
     "cand": (f"SELECT a_id, b_id, block_keys, n_block_keys FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY n_block_keys DESC, b_id) AS rn FROM up) WHERE rn <= {CAP}", ("up",)),
     "feat": (
         "SELECT c.a_id, c.b_id, c.block_keys, CAST(a.artist_norm_full = b.artist_norm_full AS INTEGER) AS artist_full_exact, CAST(a.title_norm = b.title_norm AS INTEGER) AS title_exact_norm, abs(a.year - b.year) AS year_diff, "
-        "0 AS year_either_missing, CAST(a.is_various_artists AND b.is_various_artists AS INTEGER) AS both_va, CAST(abs(length(a.title_norm) - length(b.title_norm)) AS INTEGER) AS title_len_diff, c.n_block_keys, 0 AS qualifier_mismatch "
+        "CAST(a.year IS NULL OR b.year IS NULL AS INTEGER) AS year_either_missing, CAST(a.is_various_artists AND b.is_various_artists AS INTEGER) AS both_va, CAST(abs(length(a.title_norm) - length(b.title_norm)) AS INTEGER) AS title_len_diff, c.n_block_keys, CAST(list_sort(list_distinct(a.quals)) <> list_sort(list_distinct(b.quals)) AS INTEGER) AS qualifier_mismatch "
         "FROM cand c JOIN nr a ON c.a_id = a.native_id JOIN nr b ON c.b_id = b.native_id",
         ("cand", "nr"),
     ),

@@ -5,7 +5,7 @@ Each model is registered with what it reads; build() makes them in that order an
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -238,15 +238,15 @@ def fct_lab_case_comparison(e):
     return cases.comparison(e)
 
 
-def build(spark: SparkSession, root: str, only: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+def build(spark: SparkSession, root: str, only: tuple[str, ...] = (), given: Mapping[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Every model over the artifacts under root, each after what it needs, named as a temporary view. Missing artifacts
-    are empty relations."""
+    are empty relations; given frames stand for artifacts."""
     made: dict[str, DataFrame] = {}
 
     def make(name: str) -> DataFrame:
         if name not in made:
             needs, f = MODELS[name]
-            made[name] = f(*[make(n) for n in needs]) if needs else f(spark, root)
+            made[name] = given[name] if given is not None and name.startswith("art_") else f(*[make(n) for n in needs]) if needs else f(spark, root)
             if not name.startswith("art_"):
                 made[name].createOrReplaceTempView(name)
         return made[name]

@@ -45,6 +45,7 @@ EVENT = T.StructType(
         T.StructField("b_id", T.StringType()),
         T.StructField("reason_code", T.StringType()),
         T.StructField("rationale", T.StringType()),
+        T.StructField("evidence_ref", T.StringType()),
         T.StructField("supersedes_event_id", T.StringType()),
         T.StructField("reverses_event_id", T.StringType()),
     ]

@@ -9,7 +9,8 @@ import json
 import math
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from weftline.functions.hashing import content_hash
 
@@ -22,8 +23,49 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
     return {"path": path, "rows": back.count(), "content": content_hash(back)}
 
 
-def write_exhibit(df: DataFrame, path: str) -> None:
+def write_exhibit(df: DataFrame, path: str, volatile: tuple[str, ...] = ("decided_at_utc",)) -> dict:
+    """Gzip CSV with a header, and what was written: rows and a hash of the content, without the volatile columns, that does not
+    depend on row order."""
     df.write.mode("overwrite").option("compression", "gzip").option("header", True).csv(path)
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in df.columns])
+    back = df.sparkSession.read.csv(path, header=True, schema=schema)
+    return {"path": path, "rows": back.count(), "content": content_hash(back.drop(*volatile))}
+
+
+def write_scored(df: DataFrame, path: str, run_id: str, method: str) -> dict:
+    """Unrounded scored pairs by fold, and beside them which run and method they are of and a hash of their content."""
+    written = write_table(df, path, ("fold",))
+    about = {"run_id": run_id, "method_version": method, "rows": written["rows"], "content": written["content"]}
+    write_text(df.sparkSession, json.dumps(about, sort_keys=True), f"{path}.about.json")
+    return about
+
+
+def read_scored(spark: SparkSession, path: str, run_id: str, method: str) -> DataFrame | None:
+    """The scored pairs of that run and method, or None if there are none, or others, or their content is not what was written."""
+    from weftline.sources.dumps import exists
+
+    if not exists(spark, f"{path}.about.json") or not exists(spark, path):
+        return None
+    about = json.loads(read_text(spark, f"{path}.about.json"))
+    if (about["run_id"], about["method_version"]) != (run_id, method):
+        return None
+    back = spark.read.parquet(path)
+    return back if content_hash(back) == about["content"] else None
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text file, written through the file system that the path names, wherever the tables are."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
 
 
 def canonical(obj) -> str:
@@ -39,6 +81,10 @@ def canonical(obj) -> str:
     return json.dumps(obj, sort_keys=True, indent=1, ensure_ascii=True, allow_nan=False) + "\n"
 
 
+def sha256_bytes(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
 def sha256_canonical(obj) -> str:
     return hashlib.sha256(canonical(obj).encode()).hexdigest()
 
@@ -71,12 +117,16 @@ def invalid(obj, schema: dict, at: str = "$") -> list[str]:
     return found
 
 
-def write_json(obj, path: str, schema: dict | None = None) -> str:
-    """Validate, write, and give the hash of what was written."""
+def write_json(obj, path: str, schema: dict | None = None, spark: SparkSession | None = None) -> str:
+    """Validate, write, and give the hash of what was written. With a session the file goes where the path says, a store of
+    the cluster for instance; without one to a folder of the driver."""
     if schema and (problems := invalid(obj, schema)):
         raise ValueError("; ".join(problems[:10]))
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(canonical(obj), encoding="ascii")
+    if spark is not None:
+        write_text(spark, canonical(obj), path)
+    else:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(canonical(obj), encoding="ascii")
     return hashlib.sha256(canonical(obj).encode()).hexdigest()
 
 

@@ -1,8 +1,11 @@
 """Two catalogues and their truth links, derived from `documents`: a stand-in for real dumps in queries and benchmarks.
 
-A record is a document of at least 20 words: its title is words 1 to 6, its credit words 7 and 8, its year follows from its
+Every document is a record. Its title is words 1 to 6 and its credit words 7 and 8, as far as it has them, with decorations
+by its id, so that every rule of normalisation and blocking has records: credits of various artists, titles that are the
+credit, bracketed editions, articles after a comma, numbers in brackets, marks of other scripts. Its year follows from its
 length, its type is its language. Documents with an even id are side A, the others side B. Two records are a true link if
-words 9 to 20 and the language agree: nothing that the matcher sees, so truth cannot leak into features.
+words 9 to 20 and the language agree: nothing that the matcher sees, so truth cannot leak into features. A title and a credit
+are short by their nature; the rest of a long text is in no record.
 """
 
 from __future__ import annotations
@@ -22,17 +25,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(side, native_id, title, artist_credit, year, primary_type, truth_key)"""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
-    words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")), " ")
-    held = docs.withColumn("w", words).filter(F.size("w") >= 20)
+    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ")
+    held = docs.withColumn("w", F.filter(words, lambda w: w != ""))
     part = lambda first, n: F.array_join(F.slice("w", first, n), " ")
+    # the same decorations on either side: documents 2k and 2k + 1 share theirs
+    n = F.floor(F.col("doc_id") / 2)
+    title, credit = part(1, 6), part(7, 2)
+    decorated_credit = F.when(n % 17 == 3, "Various Artists").when(n % 17 == 5, "V/A").when(n % 7 == 1, F.concat(credit, F.lit(", The"))).when(n % 7 == 2, F.concat(F.lit("The "), credit, F.lit(" (2)"))).when(n % 7 == 4, F.concat(F.lit("Đặng "), credit)).otherwise(credit)
+    decorated_title = F.when((n % 13 == 4) & (n % 17 != 3) & (n % 17 != 5), credit).when(n % 11 == 2, F.concat(title, F.lit(" [Deluxe Edition]"))).when(n % 11 == 6, F.concat(F.lit("Ёлка й "), title)).when(n % 11 == 8, F.concat(F.lit("Ἀθήνα "), title)).otherwise(title)
     return held.select(
         F.when(F.col("doc_id") % 2 == 0, "a").otherwise("b").alias("side"),
         F.col("doc_id").cast("string").alias("native_id"),
-        part(1, 6).alias("title"),
-        part(7, 2).alias("artist_credit"),
+        decorated_title.alias("title"),
+        decorated_credit.alias("artist_credit"),
         (1900 + (F.floor(F.col("n_chars") / 25) % 120)).cast("int").alias("year"),
         F.col("lang").alias("primary_type"),
-        F.concat_ws("|", "lang", part(9, 12)).alias("truth_key"),
+        F.when(F.size("w") >= 20, F.concat_ws("|", F.coalesce("lang", F.lit("")), part(9, 12))).alias("truth_key"),
     )
 
 
@@ -43,8 +51,8 @@ def sides(spark: SparkSession, sf_dir: str, phonetic: bool = False) -> tuple[Dat
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(a_id, b_id): every true link."""
-    every = records(spark, sf_dir).select("side", "native_id", "truth_key")
+    """(a_id, b_id): every true link. The number of links is that of pairs of copies: real dumps list their links."""
+    every = records(spark, sf_dir).select("side", "native_id", "truth_key").filter("truth_key is not null")
     a, b = (every.filter(F.col("side") == s) for s in ("a", "b"))
     return a.select(F.col("native_id").alias("a_id"), "truth_key").join(b.select(F.col("native_id").alias("b_id"), "truth_key"), "truth_key").select("a_id", "b_id").distinct()
 

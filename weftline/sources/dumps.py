@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,6 +121,30 @@ def replay_bundle(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=REPLAY, nullValue="", mode="FAILFAST", enforceSchema=False)
 
 
+# What ids look like, and the addresses that may be made from them.
+ID_PATTERNS = {"a": r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", "b": r"^[1-9][0-9]{0,11}$"}
+ADDRESSES = {"a": "https://musicbrainz.org/release-group/", "b": "https://www.discogs.com/master/"}
+
+
+def valid_id(column: Column, side: str) -> Column:
+    """The id, or an error if it is null or not one of that side."""
+    return F.when(column.rlike(ID_PATTERNS[side]), column).otherwise(F.raise_error(F.concat(F.lit(f"not an id of side {side}: "), F.coalesce(column, F.lit("null")))))
+
+
+def address_of(column: Column, side: str) -> Column:
+    """The address of a record; only well-formed ids become part of one."""
+    return F.concat(F.lit(ADDRESSES[side]), valid_id(column, side))
+
+
+def cached(frame: Callable[[], DataFrame], spark: SparkSession, path: str, id_col: str = "native_id") -> DataFrame:
+    """frame() kept as Parquet at path, sorted by the id as a number inside each file, so look-ups by id skip most of it; read
+    from there if it was kept before."""
+    if not exists(spark, f"{path}/_SUCCESS"):
+        number = F.expr(f"try_cast(`{id_col}` AS BIGINT)")
+        frame().repartitionByRange(number, F.col(id_col)).sortWithinPartitions(number, F.col(id_col)).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
 def bad_exhibit_rows(rows: DataFrame, method: str) -> DataFrame:
     """(a_id, problem): rows of an exhibit that break its rules."""
     twice = rows.groupBy("a_id").count().filter("count > 1").select("a_id", F.lit("duplicate A").alias("problem"))
