@@ -41,8 +41,9 @@ SAMPLE_TEXTS = 800
 #: the others in training; secrets and look-alikes planted into each text; rounds of training.
 WINDOW, WINDOWS_OF_TEXT, PLANTED, ROUNDS = 14, 20, 2, 60
 MEMO_TOKENS = 400_000
-#: Steps of the lead that settled tokens are told apart by.
-STEP = 0.5
+#: Steps of the lead that settled tokens are told apart by; letters of a word whose features follow from its length and capitals.
+STEP, PLAIN_LENGTH = 0.5, 12
+NOTHING = (False,) * 5
 KINDS = ("assign", "access", "hex", "crf")
 
 # The base patterns and the least lengths of what they find.
@@ -196,9 +197,10 @@ class Scanner:
 
     def __init__(self, field: SecretField):
         self.field = field
+        #: By step: tokens that are settled and change nothing beside them; what is known of the others; kinds of plain words.
         self.settled: dict[int, set[str]] = {}
-        self.alone: dict[int, set[str]] = {}
-        self.ordinary: set[str] = set()
+        self.others: dict[int, dict[str, tuple]] = {}
+        self.plain: dict[tuple, bool] = {}
         self.known: dict[str, int] = {}
         self.alike: dict[tuple, int] = {}
         self.table = np.zeros((1024, 2 + REACH, 3))
@@ -206,18 +208,36 @@ class Scanner:
         # the least that an ordinary token adds to the lead of outside after it and before it
         self.before, self.after = (min(lead(field.total([f"{side}:{kind}"])) for kind in ("other", "number", "mark.", "mark,")) for side in ("before", "after"))
 
-    def out_of_the_ordinary(self, distinct: set[str]) -> dict[str, tuple[bool, bool, bool]]:
-        """The tokens that change what stands beside them: (the next one, the one before, those up to REACH after)."""
-        found = {}
-        for token in distinct - self.ordinary:
-            held = self.vectors(token)
-            changes = lead(held[1]) < self.before, lead(held[2]) < self.after, is_hint(token)
-            if any(changes):
-                found[token] = changes
-            else:
-                if len(self.ordinary) > MEMO_TOKENS:
-                    self.ordinary.clear()
-                self.ordinary.add(token)
+    def unsettled(self, distinct: set[str], change: int) -> dict[str, tuple[bool, bool, bool, bool, bool]]:
+        """The tokens that are not settled or change what stands beside them: (may be a secret, is none alone, changes the next
+        one, changes the one before, is a hint)."""
+        settled, others = self.settled.setdefault(change, set()), self.others.setdefault(change, {})
+        found, done = {}, []
+        for token in distinct - settled:
+            held = others.get(token)
+            if held is None:
+                if token.isalpha() and len(token) <= PLAIN_LENGTH and token.lower() not in HINTS:
+                    # a plain word's features follow from its length and capitals
+                    kind = change, len(token).bit_length(), token.islower(), token.istitle(), token.isupper()
+                    easy = self.plain.get(kind)
+                    if easy is None:
+                        easy = self.plain[kind] = not self.may_be_secret(token, change)
+                    if easy:
+                        done.append(token)
+                        continue
+                vectors = self.vectors(token)
+                may = self.may_be_secret(token, change)
+                held = may, may and self.is_none_alone(token, change), lead(vectors[1]) < self.before, lead(vectors[2]) < self.after, is_hint(token)
+                if not (held[0] or held[2] or held[3] or held[4]):
+                    done.append(token)
+                    continue
+                if len(others) > MEMO_TOKENS:
+                    others.clear()
+                others[token] = held
+            found[token] = held
+        if len(settled) + len(done) > MEMO_TOKENS:
+            settled.clear()
+        settled.update(done)
         return found
 
     def row(self, token: str) -> int:
@@ -278,30 +298,19 @@ class Scanner:
         distinct = set(tokens) if distinct is None else distinct
         whole = self.field.total(file_features(tokens))
         change = math.floor(lead(whole) / STEP)
-        odd = distinct - self.settled.setdefault(change, set())
-        alone = self.alone.setdefault(change, set())
-        if odd:
-            settled = {t for t in odd if t not in alone and not self.may_be_secret(t, change)}
-            odd -= settled
-            if sum(map(len, self.settled.values())) > MEMO_TOKENS:
-                self.settled.clear()
-            self.settled.setdefault(change, set()).update(settled)
-            if len(alone) > MEMO_TOKENS:
-                alone.clear()
-            alone.update(t for t in odd if t not in alone and self.is_none_alone(t, change))
-        special = self.out_of_the_ordinary(distinct)
-        n = len(tokens)
+        other, n = self.unsettled(distinct, change), len(tokens)
         looked_at = {0, n - 1}  # the first and the last have one neighbour only
-        if special:
-            for i in [i for i, t in enumerate(tokens) if t in special]:
-                next_, previous, hint = special[tokens[i]]
-                looked_at.update(range(max(0, i - previous), min(n, i + 1 + (REACH if hint else next_))))
-        if odd:
+        if other:
+            places = [i for i, t in enumerate(tokens) if t in other]
+            for i in places:
+                _, _, next_, previous, hint = other[tokens[i]]
+                if next_ or previous or hint:
+                    looked_at.update(range(max(0, i - previous), min(n, i + 1 + (REACH if hint else next_))))
             forced = frozenset(looked_at)
-            for i in [i for i, t in enumerate(tokens) if t in odd]:
-                if tokens[i] in alone and not (i in forced or i - 1 in forced or i + 1 in forced or tokens[i - 1] in odd or tokens[i + 1] in odd):
-                    continue
-                looked_at.add(i)
+            for i in places:
+                may, alone, *_ = other[tokens[i]]
+                if may and not (alone and i not in forced and i - 1 not in forced and i + 1 not in forced and not other.get(tokens[i - 1], NOTHING)[0] and not other.get(tokens[i + 1], NOTHING)[0]):
+                    looked_at.add(i)
         tags, alike, group = {}, {}, []
         for i in [*sorted(looked_at), n + 1]:
             if group and i != group[-1] + 1:
@@ -334,13 +343,17 @@ class Scanner:
         open_ = np.nonzero(emit[:, OUTSIDE] - np.maximum(emit[:, BEGIN], emit[:, INSIDE]) <= self.slack)[0]
         if not len(open_):
             return found
-        # one alone is decided by itself, and nearly always outside
-        gain = moves[OUTSIDE, :2] + moves[:2, OUTSIDE] - 2 * moves[OUTSIDE, OUTSIDE]
-        apart = np.diff(open_, prepend=-2, append=len(emit) + 1) > 1
-        single = apart[:-1] & apart[1:]
-        settled = single & (emit[open_, OUTSIDE, None] - emit[open_, :2] > gain).all(axis=1)
-        open_ = open_[~settled]
-        for part in np.split(open_, np.nonzero(np.diff(open_) > 1)[0] + 1) if len(open_) else ():
+        # a stretch of secret gains at most what its tokens do, each with the best move inside, and the best moves into it and out
+        # of it; where no token gains by a move inside, the best stretch is one token
+        gain = np.maximum(emit[open_, BEGIN], emit[open_, INSIDE]) - emit[open_, OUTSIDE]
+        inside = moves[:2, :2].max() - moves[OUTSIDE, OUTSIDE]
+        around = moves[OUTSIDE, :2].max() + moves[:2, OUTSIDE].max() - 2 * moves[OUTSIDE, OUTSIDE]
+        may = (gain + inside > 0) | (gain + around >= 0)
+        if not may.any():
+            return found
+        runs = np.cumsum(np.diff(open_, prepend=open_[0]) > 1)
+        for run in np.unique(runs[may]).tolist():
+            part = open_[runs == run]
             found += [(int(k), tag) for k, tag in zip(part, viterbi(emit[part], moves), strict=True) if tag != OUTSIDE]
         return found
 
