@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from weftline.llm.common import append_columns
 
 #: Words that a task remembers, in each of two generations, and the longest such word.
-MEMO_WORDS, MEMO_CHARS = 400_000, 64
+MEMO_WORDS, MEMO_CHARS = 600_000, 64
 #: Verdicts on pairs of tokens, and steps of the automaton, that a task remembers.
 MOST_FITS, MOST_STEPS = 1_000_000, 1_000_000
 #: Below this code point canonical composition changes nothing and both libraries' character classes agree.
@@ -207,12 +207,10 @@ class WordBpe:
         # by prefix length, the word's end counting as one more: the encoding's last token and that token's length
         last, size = [-1] * (n + 2), [0] * (n + 2)
         last[0], end, state = START, 0, 0
-        for c in word + END:
+        for c in word[:-1]:
             end += 1
             after = steps[state].get(c)
             state = step(state, c) if after is None else after
-            if end == n:  # the whole word without its end is not looked for
-                continue
             for token, length in ends[state]:
                 before = last[end - length]
                 if before >= 0:
@@ -220,6 +218,16 @@ class WordBpe:
                     if compatible(before, token) if found is None else found:
                         last[end], size[end] = token, length
                         break
+        # the whole word without its end is not looked for
+        for c in word[-1:] + END:
+            after = steps[state].get(c)
+            state = step(state, c) if after is None else after
+        end = n + 1
+        for token, length in ends[state]:
+            before = last[end - length]
+            if before >= 0 and (fits[before][token] if token in fits[before] else compatible(before, token)):
+                last[end], size[end] = token, length
+                break
         if last[end] < 0:
             raise ValueError(f"no token of the vocabulary ends {word!r}")
         ids, at = [], n + 1
