@@ -10,9 +10,10 @@ calibration are learned from one bounded sample of labelled rows (SAMPLE_ROWS by
 Defined results:
 - text null or empty: all densities zero, the score of a text without any sign
 - no labelled rows, or only one label among them: every score is that label's share (0 without any)
-- several labels for one id: toxic if one of them says so
+- several labels for one id: toxic if one of them says so; several texts for one id: one of them is learned from
 - repeated rows and null ids: each row is scored on its text alone
-- columns of the input named like an output column are replaced; all others are carried along
+- a text of any length is one row; its words are held by one task
+- columns of the input named like an output column are replaced; all others are carried along, whatever their names
 """
 
 from __future__ import annotations
@@ -32,7 +33,6 @@ from weftline.llm.common import SLICE, append_columns, cut
 SAMPLE_ROWS = 20_000
 #: Letters of a word start, the fewest texts with a lexicon entry, and how much more frequent in toxic texts it is.
 START_LETTERS, LEAST_TEXTS, LIFT = 5, 10, 12.0
-LEXICON_ENTRIES = 4096
 TREES, DEPTH, RATE, BINS, LEAST_LEAF = 60, 3, 0.2, 32, 20.0
 NEAR_WORDS = 6
 PREDICTED_FROM = 0.3
@@ -43,7 +43,8 @@ ADDRESS = frozenset("you your yours you're ur u du dich dir dein deine ihr euch
 DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t", "*": "", "_": "", "-": "", ".": ""})
 
 WORD = re.compile(r"[^\W\d_]+")
-DISGUISED = re.compile(r"[^\W\d_]+(?:[0-9@$!|+*_\-.]+[^\W\d_]+)+|[0-9@$|]+[^\W\d_]+(?:[0-9@$!|+*]+[^\W\d_]+)*")
+# a run of letters is tried from its first letter only: what does not match from there does not match from a later one
+DISGUISED = re.compile(r"(?<![^\W\d_])[^\W\d_]+(?:[0-9@$!|+*_\-.]+[^\W\d_]+)+|[0-9@$|]+[^\W\d_]+(?:[0-9@$!|+*]+[^\W\d_]+)*")
 STRETCHED = re.compile(r"([^\W\d_])\1{2,}")
 APART = re.compile(r"\b[^\W\d_](?:[ .\-_*][^\W\d_]\b){3,}")
 UPPER, LOWER = bytes(range(65, 91)), bytes(range(97, 123))
@@ -199,8 +200,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, text_col: str = "t
     known = labels.filter(usable & F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     # sample_rows rows at most, so it may be sent to every executor and the texts need not be shuffled
     chosen = F.broadcast(known.orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(sample_rows).withColumnRenamed(id_col, "_id"))
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(chosen, F.col(id_col) == F.col("_id")).select("_id", "text", "toxic")
-    rows = cut(rows.groupBy(F.xxhash64("text"), "text").agg(F.max("toxic").alias("toxic"), F.min("_id").alias("_id")).select("_id", "text", "toxic"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("_doc"), F.col(f"`{text_col}`").alias("text")).join(chosen, F.col("_doc") == F.col("_id")).select("_id", "text", "toxic")
+    # of an id that many rows have, the text that sorts first by its hash: sample_rows texts at most
+    rows = rows.withColumn("_print", F.xxhash64("text")).groupBy("_id").agg(F.min_by(F.struct("text", "_print"), F.struct("_print", "text")).alias("t"), F.max("toxic").alias("toxic")).select("_id", "t.text", "t._print", "toxic")
+    rows = cut(rows.groupBy("_print", "text").agg(F.max("toxic").alias("toxic"), F.min("_id").alias("_id")).select("_id", "text", "toxic"))
     sizes = dict(rows.groupBy("toxic").count().collect())
     n_toxic, n_clean = sum(n for label, n in sizes.items() if label), sizes.get(0, 0)
     if not n_toxic or not n_clean:
@@ -208,7 +211,8 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, text_col: str = "t
     counts = units(rows).groupBy("unit").agg(F.sum(F.col("toxic")).alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     lift = (F.col("a") + 0.5) / (n_toxic + 1) / ((F.col("b") + 0.5) / (n_clean + 1))
     least = max(min(LEAST_TEXTS, 3), min(LEAST_TEXTS, n_toxic // 50))
-    chosen_units = [r[0] for r in counts.filter((F.col("a") >= least) & (lift >= LIFT)).orderBy(F.desc("a"), "unit").limit(LEXICON_ENTRIES).select("unit").collect()]
+    # as many as the sample gives: an entry is in least of its n_toxic texts
+    chosen_units = [r[0] for r in counts.filter((F.col("a") >= least) & (lift >= LIFT)).select("unit").collect()]
     lexicon = Lexicon(frozenset(u for u in chosen_units if u[-1] != "*"), frozenset(u[:-1] for u in chosen_units if u[-1] == "*"))
 
     def make():
