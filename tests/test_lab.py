@@ -402,6 +402,7 @@ def test_profile_extras(spark):
     found = {(r["measure"], r["value"]): r["n"] for r in profile.links_extras(links, groups, masters).collect()}
     assert found == {("link_type", "discogs"): 3, ("link_type", "none"): 1, ("distinct", "links"): 3, ("dead", "b"): 1, ("dead", "a"): 1, ("several", "a"): 1, ("several", "b"): 0}
     items = spark.createDataFrame([("q", 1999, None, "x; y"), ("r", None, "c", "")], "item string, year int, class string, performers string")
+    assert [tuple(r) for r in profile.top_classes(items).collect()] == [("c", 1), ("none", 1)]
     assert profile.items_extras(items).first()["several_performers"] == 0.5 and profile.items_extras(items.limit(0)).first()["year_present"] is None
 
 

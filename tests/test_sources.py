@@ -123,6 +123,16 @@ def test_warehouse(spark, tmp_path):
     assert sinks.export({"dim_source": made["dim_source"]}, str(tmp_path / "out")) == {"dim_source": 1}
 
 
+def test_models_are_tables_of_their_layers(spark, tmp_path):
+    artifacts(tmp_path)
+    made = warehouse.build(spark, str(tmp_path), ("fct_mapping", "dim_source"))
+    names = warehouse.materialise(spark, made)
+    assert set(names) == {"bronze.brz_mapping", "silver.slv_mapping", "gold.fct_mapping", "bronze.brz_manifest_sources", "gold.dim_source"}
+    assert [r["b_id"] for r in spark.table("gold.fct_mapping").collect()] == ["9"] and {d.name for d in spark.catalog.listDatabases()} >= {"bronze", "silver", "gold"}
+    for name in names:
+        spark.sql(f"DROP TABLE {name}")
+
+
 def test_warehouse_without_artifacts(spark, tmp_path):
     made = warehouse.build(spark, str(tmp_path))
     assert all(df.count() == 0 for df in made.values())

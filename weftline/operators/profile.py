@@ -118,3 +118,8 @@ def links_extras(links: DataFrame, groups: DataFrame, masters: DataFrame) -> Dat
 def items_extras(items: DataFrame) -> DataFrame:
     """One row: of flattened items, the shares with a year, a class and performers, and with several performers."""
     return shares(items, {"year_present": F.col("year").isNotNull(), "class_present": F.col("class").isNotNull(), "performers_present": F.col("performers") != "", "several_performers": F.col("performers").contains("; ")})
+
+
+def top_classes(items: DataFrame, most: int = 10) -> DataFrame:
+    """(class, n): the commonest classes of flattened items, those without one under none."""
+    return items.groupBy(F.coalesce("class", F.lit("none")).alias("class")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "class").limit(most)

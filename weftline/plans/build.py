@@ -31,15 +31,21 @@ BOUNDS = {"fit": [0, 60], "calibrate": [60, 80], "test": [80, 100]}
 
 
 class Runtime:
-    """Seconds of each stage, and the most memory that the driver's Python has held by then."""
+    """Seconds of each stage, the bytes under the output folder after it, and the most memory that the driver's Python has held."""
 
-    def __init__(self):
+    def __init__(self, spark: SparkSession, out: str):
         self.stages: dict[str, dict] = {}
+        self.spark, self.out = spark, out
         self.clock = time.monotonic()
 
+    def size(self) -> int:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.out)
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return files.getContentSummary(path).getLength() if files.exists(path) else 0
+
     def done(self, stage: str, **facts) -> None:
         now = time.monotonic()
-        self.stages[stage] = {"seconds": round(now - self.clock, 3), "peak_rss_bytes": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024} | facts
+        self.stages[stage] = {"seconds": round(now - self.clock, 3), "output_bytes": self.size(), "peak_rss_bytes": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024} | facts
         self.clock = now
 
 
@@ -97,7 +103,7 @@ def decision_values(spark: SparkSession, out: str, run_id: str, method: str, fea
 
 def run(spark: SparkSession, tables: str, out: str, cap: int = blocking.CAP, learned: bool = True, today: date | None = None, unlinked_share: float = UNLINKED_SHARE, gate: int = blocking.PAIR_GATE) -> dict:
     """The metrics of each method. Candidates' features are written once, since every method reads them."""
-    runtime, started = Runtime(), datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    runtime, started = Runtime(spark, out), datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     last_year = sampling.last_year_of(today or datetime.now(UTC).date())
     save = lambda obj, name: write_json(obj, f"{out}/{name}", spark=spark)
 

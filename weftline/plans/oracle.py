@@ -61,7 +61,8 @@ PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
     ),
     "nr0": (normalized("rec"), ("rec",)),
     "nr": ("SELECT *, list_sort(list_distinct(list_filter(string_split(title_norm, ' '), lambda x: x <> ''))) AS tokens, title_norm <> '' AND (title_norm = artist_norm OR title_norm = artist_norm_full) AS is_self_titled FROM nr0", ("nr0",)),
-    "truth": ("SELECT DISTINCT a.native_id AS a_id, b.native_id AS b_id FROM rec a JOIN rec b ON a.side = 'a' AND b.side = 'b' AND a.truth_key = b.truth_key", ("rec",)),
+    "firsts": ("SELECT truth_key, min(native_id) FILTER (WHERE side = 'a') AS first_a, min(native_id) FILTER (WHERE side = 'b') AS first_b FROM rec WHERE truth_key IS NOT NULL GROUP BY 1", ("rec",)),
+    "truth": ("SELECT r.native_id AS a_id, f.first_b AS b_id FROM rec r JOIN firsts f ON r.truth_key = f.truth_key WHERE r.side = 'a' AND f.first_b IS NOT NULL UNION SELECT f.first_a, r.native_id FROM rec r JOIN firsts f ON r.truth_key = f.truth_key WHERE r.side = 'b' AND f.first_a IS NOT NULL", ("rec", "firsts")),
     "keys": (
         "SELECT side, native_id, 'k_title3' AS key_type, array_to_string(string_split(title_norm, ' ')[1:3], ' ') AS key FROM nr WHERE title_norm <> '' "
         "UNION ALL SELECT side, native_id, 'k_title_sorted', substr(sha256(array_to_string(tokens, ' ')), 1, 16) FROM nr WHERE title_norm <> '' "

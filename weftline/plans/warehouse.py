@@ -254,3 +254,23 @@ def build(spark: SparkSession, root: str, only: tuple[str, ...] = (), given: Map
     for name in only or MODELS:
         make(name)
     return made
+
+
+#: Layers by the prefix of their models; a layer's name is its schema's, without anything before it.
+LAYERS = {"brz": "bronze", "slv": "silver", "dim": "gold", "fct": "gold"}
+
+
+def layer(name: str) -> str:
+    """The schema of a model; artifacts have none."""
+    return LAYERS[name.partition("_")[0]]
+
+
+def materialise(spark: SparkSession, made: dict[str, DataFrame]) -> list[str]:
+    """Write models as tables bronze.*, silver.* and gold.* of the session's catalogue; their full names."""
+    written = []
+    for name, df in made.items():
+        if not name.startswith("art_"):
+            spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer(name)}")
+            df.write.mode("overwrite").saveAsTable(f"{layer(name)}.{name}")
+            written.append(f"{layer(name)}.{name}")
+    return written

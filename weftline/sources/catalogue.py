@@ -3,9 +3,9 @@
 Every document is a record. Its title is words 1 to 6 and its credit words 7 and 8, as far as it has them, with decorations
 by its id, so that every rule of normalisation and blocking has records: credits of various artists, titles that are the
 credit, bracketed editions, articles after a comma, numbers in brackets, marks of other scripts. Its year follows from its
-length, its type is its language. Documents with an even id are side A, the others side B. Two records are a true link if
-words 9 to 20 and the language agree: nothing that the matcher sees, so truth cannot leak into features. A title and a credit
-are short by their nature; the rest of a long text is in no record.
+length, its type is its language. Documents with an even id are side A, the others side B. True links join records whose words
+9 to 20 and language agree: nothing that the matcher sees, so truth cannot leak into features. A title and a credit are short
+by their nature; the rest of a long text is in no record.
 """
 
 from __future__ import annotations
@@ -51,10 +51,12 @@ def sides(spark: SparkSession, sf_dir: str, phonetic: bool = False) -> tuple[Dat
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(a_id, b_id): every true link. The number of links is that of pairs of copies: real dumps list their links."""
+    """(a_id, b_id): every true link. Of the records with one key each of A is linked with the first of B, and each of B with the
+    first of A, so there are no more links than records however many copies there are."""
     every = records(spark, sf_dir).select("side", "native_id", "truth_key").filter("truth_key is not null")
-    a, b = (every.filter(F.col("side") == s) for s in ("a", "b"))
-    return a.select(F.col("native_id").alias("a_id"), "truth_key").join(b.select(F.col("native_id").alias("b_id"), "truth_key"), "truth_key").select("a_id", "b_id").distinct()
+    of_a = F.col("side") == "a"
+    firsts = every.groupBy("truth_key").agg(F.min(F.when(of_a, F.col("native_id"))).alias("first_a"), F.min(F.when(~of_a, F.col("native_id"))).alias("first_b")).filter("first_a is not null and first_b is not null")
+    return every.join(firsts, "truth_key").select(F.when(of_a, F.col("native_id")).otherwise(F.col("first_a")).alias("a_id"), F.when(of_a, F.col("first_b")).otherwise(F.col("native_id")).alias("b_id")).distinct()
 
 
 #: Adapters by name: functions (spark, path) -> normalised side frame.
