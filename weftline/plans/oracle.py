@@ -48,6 +48,38 @@ def fold(x: str) -> str:
     return f"CASE WHEN {bucket(x)} < 60 THEN 'fit' WHEN {bucket(x)} < 80 THEN 'calibrate' ELSE 'test' END"
 
 
+def lcs(a: str, b: str) -> str:
+    """The length of the longest common subsequence: the rows of the dynamic programme, one for each character of b."""
+    zeros, rows = f"[list_transform(string_split({a}, ''), lambda x: 0)]", f"list_transform(string_split({b}, ''), lambda c: list_transform(string_split({a}, ''), lambda x: CAST(x = c AS INTEGER)))"
+    step = f"lambda acc, m: list_transform(range(1, length({a}) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(acc[k], coalesce(acc[k - 1], 0) + m[k]))))"
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN 0 WHEN {a} = {b} THEN length({a}) ELSE list_reduce(list_concat({zeros}, {rows}), {step})[-1] END"
+
+
+def words(x: str) -> str:
+    return f"list_filter(string_split({x}, ' '), lambda w: w <> '')"
+
+
+def in_order(x: str) -> str:
+    return f"array_to_string(list_sort({x}), ' ')"
+
+
+def ratio(a: str, b: str) -> str:
+    return f"CASE WHEN length({a}) + length({b}) = 0 THEN 100::DOUBLE ELSE 200::DOUBLE * ({lcs(a, b)}) / (length({a}) + length({b})) END"
+
+
+def renamed(x: str) -> str:
+    """DuckDB's Jaro-Winkler compares bytes: the letters beyond ASCII that normalised names have here are renamed, one for one, to capitals, which they have not."""
+    return f"translate({x}, 'đелкаиαθην', 'ABCDEFGHIJ')"
+
+
+def jaro_winkler(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = '' OR {b} = '' THEN CAST({a} = {b} AS DOUBLE) ELSE jaro_winkler_similarity({renamed(a)}, {renamed(b)}) END"
+
+
+def single(x: str, by: int = 100) -> str:
+    return f"CAST(CAST({x} AS FLOAT) AS DOUBLE) / {by}"
+
+
 # every expression by name, with those it needs
 PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
     "w": (r"SELECT doc_id, lang, n_chars, doc_id // 2 AS n, list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM documents", ()),
@@ -79,6 +111,40 @@ PARTS: dict[str, tuple[str, tuple[str, ...]]] = {
         "FROM cand c JOIN nr a ON c.a_id = a.native_id JOIN nr b ON c.b_id = b.native_id",
         ("cand", "nr"),
     ),
+    "texts": ("SELECT DISTINCT x, y FROM (SELECT a.title_norm AS x, b.title_norm AS y FROM cand c JOIN nr a ON c.a_id = a.native_id JOIN nr b ON c.b_id = b.native_id UNION ALL SELECT a.artist_norm, b.artist_norm FROM cand c JOIN nr a ON c.a_id = a.native_id JOIN nr b ON c.b_id = b.native_id)", ("cand", "nr")),
+    "shapes": (
+        f"SELECT *, {in_order(words('x'))} AS xo, {in_order(words('y'))} AS yo, list_distinct({words('x')}) AS xs, list_distinct({words('y')}) AS ys, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS sh, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS lo FROM texts",
+        ("texts",),
+    ),
+    # each window of the longer text, and for texts of one length each window of either
+    "windows": (
+        "SELECT x, y, sh AS p, substr(lo, greatest(0, s) + 1, least(length(lo), s + length(sh)) - greatest(0, s)) AS q FROM (SELECT *, unnest(range(1 - length(sh), length(lo))) AS s FROM shapes WHERE sh <> '' AND sh <> lo) "
+        "UNION ALL SELECT x, y, lo, substr(sh, greatest(0, s) + 1, least(length(sh), s + length(lo)) - greatest(0, s)) FROM (SELECT *, unnest(range(1 - length(lo), length(sh))) AS s FROM shapes WHERE sh <> '' AND sh <> lo AND length(sh) = length(lo))",
+        ("shapes",),
+    ),
+    "partials": (f"SELECT x, y, max(200::DOUBLE * ({lcs('p', 'q')}) / (length(p) + length(q))) AS v FROM windows GROUP BY 1, 2", ("windows",)),
+    "sets": (
+        f"SELECT x, y, xs, ys, list_intersect(xs, ys) AS common, {in_order('list_filter(xs, lambda w: NOT list_contains(ys, w))')} AS xr, {in_order('list_filter(ys, lambda w: NOT list_contains(xs, w))')} AS yr, length(array_to_string(list_intersect(xs, ys), ' ')) AS sb FROM shapes",
+        ("shapes",),
+    ),
+    "set_parts": (f"SELECT *, sb + CAST(sb > 0 AND xr <> '' AS INTEGER) + length(xr) AS nx, sb + CAST(sb > 0 AND yr <> '' AS INTEGER) + length(yr) AS ny, length(xr) + length(yr) - 2 * ({lcs('xr', 'yr')}) AS apart FROM sets", ("sets",)),
+    "set_ratios": (
+        "SELECT x, y, CASE WHEN len(xs) = 0 OR len(ys) = 0 THEN 0::DOUBLE WHEN len(common) > 0 AND (xr = '' OR yr = '') THEN 100::DOUBLE ELSE greatest(CASE WHEN nx + ny > 0 THEN 100 * (1 - apart::DOUBLE / (nx + ny)) ELSE 100 END, "
+        "CASE WHEN sb > 0 THEN 100 * (1 - (nx - sb)::DOUBLE / (sb + nx)) ELSE 0 END, CASE WHEN sb > 0 THEN 100 * (1 - (ny - sb)::DOUBLE / (sb + ny)) ELSE 0 END) END AS v FROM set_parts",
+        ("set_parts",),
+    ),
+    "alike": (
+        f"SELECT s.x, s.y, {single(ratio('s.x', 's.y'))} AS ratio, {single('CASE WHEN s.x = s.y THEN 100 ELSE coalesce(p.v, 0) END')} AS partial, {single(ratio('s.xo', 's.yo'))} AS token_sort, {single('t.v')} AS token_set, {single(jaro_winkler('s.x', 's.y'), 1)} AS jw "
+        "FROM shapes s LEFT JOIN partials p ON p.x = s.x AND p.y = s.y JOIN set_ratios t ON t.x = s.x AND t.y = s.y",
+        ("shapes", "partials", "set_ratios"),
+    ),
+    "fuzzy": (
+        "SELECT f.a_id, f.b_id, f.block_keys, t.ratio AS title_ratio, t.partial AS title_partial, t.token_sort AS title_token_sort, t.token_set AS title_token_set, t.jw AS title_jw, r.ratio AS artist_ratio, r.token_set AS artist_token_set, r.jw AS artist_jw, "
+        "f.artist_full_exact, f.title_exact_norm, f.year_diff, f.year_either_missing, f.both_va, f.title_len_diff, f.n_block_keys, f.qualifier_mismatch "
+        "FROM feat f JOIN nr a ON f.a_id = a.native_id JOIN nr b ON f.b_id = b.native_id JOIN alike t ON t.x = a.title_norm AND t.y = b.title_norm JOIN alike r ON r.x = a.artist_norm AND r.y = b.artist_norm",
+        ("feat", "nr", "alike"),
+    ),
+    "fuzzy_scores": ("SELECT a_id, b_id, block_keys, 0.45::DOUBLE * title_token_set + 0.35::DOUBLE * artist_token_set + 0.2::DOUBLE * CASE WHEN year_diff IS NULL THEN 0.25::DOUBLE WHEN year_diff = 0 THEN 1::DOUBLE WHEN year_diff = 1 THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS probability FROM fuzzy", ("fuzzy",)),
     "agree": ("SELECT *, CASE WHEN year_diff IS NULL THEN 0.25::DOUBLE WHEN year_diff = 0 THEN 1::DOUBLE WHEN year_diff = 1 THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS ya FROM feat", ("feat",)),
     "sc": (
         "SELECT a_id, b_id, block_keys, 'exact_v1' AS method_version, CASE WHEN title_exact_norm = 1 AND artist_full_exact = 1 AND coalesce(year_diff, 0) = 0 THEN 1::DOUBLE ELSE 0::DOUBLE END AS probability FROM agree "

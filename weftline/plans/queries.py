@@ -227,13 +227,11 @@ def pair_features_native(spark, sf_dir):
     return scored_pairs(spark, sf_dir).drop("fold").withColumn("block_keys", F.array_join("block_keys", "|"))
 
 
-def jw_sql(c: str) -> str:
-    """DuckDB compares bytes: the letters beyond ASCII that normalised names have here are renamed, one for one, to capitals, which they have not."""
-    a, b = (f"translate({s}.{c}, 'đелкаиαθην', 'ABCDEFGHIJ')" for s in "ab")
-    return f"CAST(round(CASE WHEN {a} = '' OR {b} = '' THEN CAST({a} = {b} AS DOUBLE) ELSE jaro_winkler_similarity({a}, {b}) END * 1000000) AS BIGINT)"
+def millionths(x: str) -> str:
+    return f"CAST(round(({x}) * 1000000) AS BIGINT)"
 
 
-@query("pair_feature_jw", with_parts(f"SELECT c.a_id, c.b_id, {jw_sql('title_norm')} AS title_jw_millionths, {jw_sql('artist_norm')} AS artist_jw_millionths FROM cand c JOIN nr a ON c.a_id = a.native_id JOIN nr b ON c.b_id = b.native_id", "cand", "nr"))
+@query("pair_feature_jw", with_parts(f"SELECT c.a_id, c.b_id, {millionths(O.jaro_winkler('a.title_norm', 'b.title_norm'))} AS title_jw_millionths, {millionths(O.jaro_winkler('a.artist_norm', 'b.artist_norm'))} AS artist_jw_millionths FROM cand c JOIN nr a ON c.a_id = a.native_id JOIN nr b ON c.b_id = b.native_id", "cand", "nr"))
 def pair_feature_jw(spark, sf_dir):
     a, b = catalogue.sides(spark, sf_dir)
     held = with_records(blocking.candidates(a, b, CAP), a, b)
@@ -241,6 +239,21 @@ def pair_feature_jw(spark, sf_dir):
     return held.select("a_id", "b_id", jw("title").alias("title_jw_millionths"), jw("artist").alias("artist_jw_millionths"))
 
 
+@query("pair_features_all", with_parts("SELECT * FROM fuzzy", "fuzzy"))
+def pair_features_all(spark, sf_dir):
+    return scored_pairs(spark, sf_dir, fuzzy=True).drop("fold").withColumn("block_keys", F.array_join("block_keys", "|"))
+
+
+RULED = ", ranked AS (SELECT *, row_number() OVER w AS rn, lead(probability) OVER w AS v2 FROM fuzzy_scores WINDOW w AS (PARTITION BY a_id ORDER BY probability DESC, b_id))\n"
+
+
+@query("rules_decisions", with_parts(RULED + "SELECT a_id, b_id, block_keys, probability, probability - v2 AS top2_gap, CASE WHEN probability >= 0.0756756772994995 AND coalesce(probability - v2 < 0.1::DOUBLE, FALSE) THEN 'review' WHEN probability >= 0.65 THEN 'auto_accept' WHEN probability >= 0.0756756772994995 THEN 'review' ELSE 'reject' END AS tier, probability >= 0.65 AND coalesce(probability - v2 < 0.1::DOUBLE, FALSE) AS ambiguity_review FROM ranked WHERE rn = 1", "fuzzy_scores").replace("\n, ranked AS", ",\nranked AS"))
+def rules_decisions(spark, sf_dir):
+    """The rules method as it is, on token sets, at the policy that was fitted for it."""
+    pairs = methods.scored(scored_pairs(spark, sf_dir, fuzzy=True), methods.rules_score())
+    return decide.decide(pairs, decide.Policy(0.65, 0.0756756772994995, 0.1)).select("a_id", "b_id", F.array_join("block_keys", "|").alias("block_keys"), "probability", "top2_gap", "tier", "ambiguity_review")
+
+
 @query("pair_features_fuzzy")
 def pair_features_fuzzy(spark, sf_dir):
     return scored_pairs(spark, sf_dir, fuzzy=True, phonetic=True).withColumn("block_keys", F.array_join("block_keys", "|"))
