@@ -174,15 +174,16 @@ def labels_of(known: DataFrame, most_bits: int, groups: int, block: int) -> Data
 def one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs that stay when of each component only the document with the smallest id does.
 
-    Rows with a null id stay. Of rows with the same id and fingerprint the one that sorts first stays.
+    Rows with a null id stay. Of rows with the same id and fingerprint one text stays, that of the smallest hash, and of rows
+    with that text the one that sorts first. Texts are known again by a hash that the JVM makes, so they are fingerprinted
+    once, and cross the wire once.
     """
-    kept = judged(docs, text_col, id_col, **options).filter("doc_id = component_id").select("doc_id", "print", "fp").distinct()
-    id_long, print_, fp, rank = fresh(docs.columns, "_id", "_print", "_fp", "_rank")
+    kept = judged(docs, text_col, id_col, **options).filter("doc_id = component_id").groupBy("doc_id", "fp").agg(F.min("print").alias("print"))
+    id_long, print_, rank = fresh(docs.columns, "_id", "_print", "_rank")
     own_id = F.col(f"`{id_col}`").cast("long")
-    # texts are known again by a hash that the JVM makes, so they are not fingerprinted twice
     known = docs.filter(own_id.isNotNull()).withColumns({id_long: own_id, print_: F.xxhash64(F.col(f"`{text_col}`"))})
-    known = known.join(kept.toDF(id_long, print_, fp), [id_long, print_])
-    order = Window.partitionBy(id_long, fp).orderBy(*[F.col(f"`{c}`") for c in docs.columns if orderable(docs.schema[c].dataType)])
+    known = known.join(kept.select("doc_id", "print").distinct().toDF(id_long, print_), [id_long, print_])
+    order = Window.partitionBy(id_long, print_).orderBy(*[F.col(f"`{c}`") for c in docs.columns if orderable(docs.schema[c].dataType)])
     first = known.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
     return first.unionByName(docs.filter(own_id.isNull()))
 
