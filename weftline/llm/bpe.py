@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from weftline.llm.common import append_columns
 
 #: Words that a task remembers, in each of two generations, and the longest such word.
-MEMO_WORDS, MEMO_CHARS = 600_000, 64
+MEMO_WORDS, MEMO_CHARS = 250_000, 64
 #: Verdicts on pairs of tokens, and steps of the automaton, that a task remembers.
-MOST_FITS, MOST_STEPS = 1_000_000, 1_000_000
+MOST_FITS, MOST_STEPS = 500_000, 200_000
 #: Below this code point canonical composition changes nothing and both libraries' character classes agree.
 PLAIN_BELOW = 0x300
 #: Marks of which any run is one pre-token by itself; a word and such a run are two.
