@@ -8,7 +8,7 @@ Defined results:
 - rows with a null id keep their lines, stay in the near-copy stage, and are packed
 - texts that are null or without letters, and those whose two best languages are as good as tied, go with the first stage
 - rows that share an id are one document to the second stage; of rows with equal ids and texts the third keeps one
-- of a group of near copies the smallest id stays; of rows with that id and different texts in it, the one that sorts first
+- of a group of near copies the smallest id stays; of rows with that id and fingerprint the text of the smallest hash
 - a text of any length is one row until the last stage cuts its tokens
 - columns beyond those of documents are dropped by the first stage
 """
