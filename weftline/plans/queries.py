@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions import normalize as N
-from weftline.functions.hashing import fold_of, membership_hash
+from weftline.functions.hashing import fold_of, membership_hash, pair_hash
 from weftline.functions.similarity import jaro_winkler_column
 from weftline.operators import assertions, blocking, cases, decide, evaluate, ledger, methods, profile, sampling
 from weftline.operators.features import pair_features, with_records
 from weftline.plans import marts
 from weftline.plans import oracle as O
 from weftline.plans.oracle import CAP, SCOPE, with_parts
-from weftline.sources import catalogue
+from weftline.sources import catalogue, dumps
 from weftline.sources.catalogue import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -512,6 +512,157 @@ def flagship(spark, sf_dir):
     return decide.decide(pairs).select("a_id", "b_id", "tier", "top2_gap")
 
 
+# single operators on whole tables
+
+
+@query("pair_hashes", "SELECT o_orderkey, sha256(CAST(o_orderkey AS VARCHAR) || '|' || CAST(o_custkey AS VARCHAR)) AS pair_hash FROM orders")
+def pair_hashes(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", pair_hash(F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")).alias("pair_hash"))
+
+
+@query("sample_pools", with_parts(f", linked AS (SELECT DISTINCT a_id FROM truth), inside AS (SELECT DISTINCT t.b_id FROM truth t JOIN rec a ON a.native_id = t.a_id WHERE a.primary_type = '{SCOPE}'), every AS (SELECT DISTINCT b_id FROM truth)\nSELECT 'a' AS side, native_id, FALSE AS b_linked_out_of_scope FROM rec WHERE side = 'a' AND primary_type = '{SCOPE}' AND native_id NOT IN (SELECT a_id FROM linked) UNION ALL SELECT 'b', native_id, native_id IN (SELECT b_id FROM every) FROM rec WHERE side = 'b' AND native_id NOT IN (SELECT b_id FROM inside)", "truth", "rec").replace("\n, linked AS", ",\nlinked AS"))
+def sample_pools(spark, sf_dir):
+    every = catalogue.records(spark, sf_dir)
+    a, b = sampling.pools(every.filter("side = 'a'"), every.filter("side = 'b'"), catalogue.links(spark, sf_dir), SCOPE)
+    return a.select(F.lit("a").alias("side"), "native_id", F.lit(False).alias("b_linked_out_of_scope")).unionByName(b.select(F.lit("b").alias("side"), "native_id", "b_linked_out_of_scope"))
+
+
+@query("wild_years", with_parts(f"SELECT count(*) FILTER (WHERE year IS NOT NULL AND NOT year BETWEEN 1900 AND {LAST_YEAR}) AS years_nulled, count(*) FILTER (WHERE year BETWEEN 1900 AND {LAST_YEAR}) AS years_kept FROM parts_", "parts_"))
+def wild_years(spark, sf_dir):
+    side = decorated(spark, sf_dir)
+    kept = sampling.without_wild_years(side, LAST_YEAR).agg(F.count("year").alias("years_kept"))
+    return sampling.wild_years(side, LAST_YEAR).crossJoin(kept)  # one row each
+
+
+@query("published_mapping", with_parts("SELECT a_id, b_id, 'rules_v1' AS method_version, 'f1' AS feature_version, round(probability, 6) AS probability, tier, block_keys, round(top2_gap, 6) AS top2_gap, 'run' AS run_id FROM dec WHERE method_version = 'rules_v1' AND tier <> 'reject'", "dec"))
+def published_mapping(spark, sf_dir):
+    pairs = methods.scored(scored_pairs(spark, sf_dir), native_scores()["rules_v1"])
+    return decide.mapping(decide.decide(pairs), "rules_v1", "f1", "run", "now").drop("score", "fold", "decided_at_utc")
+
+
+@query("tiers_of_shares", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_discount * 10 >= 0.95 THEN 'auto_accept' WHEN l_discount * 10 >= 0.5 THEN 'review' ELSE 'reject' END AS tier FROM lineitem WHERE l_discount * 10 <= 1")
+def tiers_of_shares(spark, sf_dir):
+    held = table(spark, sf_dir, "lineitem").filter(F.col("l_discount") * 10 <= 1)
+    return held.select("l_orderkey", "l_linenumber", "l_partkey", decide.tier_of(F.col("l_discount") * 10).alias("tier"))
+
+
+COUNTED = O.replayed([(0.95, 0.5, 0.1)])
+RATE = lambda n, d: f"round(CAST({n} AS DOUBLE) / nullif({d}, 0), 6)"
+
+
+@query("policy_metrics", f"SELECT {RATE('labelled_a_reachable', 'labelled_a')} AS pair_completeness_test, {RATE('correct', 'accepted')} AS precision, {RATE('correct', 'labelled_a_reachable')} AS recall_labelled, {RATE('correct + queued_reachable', 'accepted + queued_labelled')} AS precision_or_review, {RATE('correct', 'labelled_a')} AS recall_overall, {RATE('accepted_all', 'test_a')} AS coverage, {RATE('unverified', 'accepted_all')} AS unverified_share, CAST(accepted_all AS DOUBLE) / test_a AS share_accept, CAST(review_all AS DOUBLE) / test_a AS share_review, CAST(rejected_all AS DOUBLE) / test_a AS share_reject, demoted AS decisions_moved_to_review FROM ({COUNTED})")
+def policy_metrics(spark, sf_dir):
+    """The rates of one policy. They are taken on the driver, from one row of counts."""
+    m = evaluate.evaluate(replay_rows(spark, sf_dir), decide.Policy(0.95, 0.5, 0.1))
+    row = {"pair_completeness_test": m["pair_completeness_test"], "precision": m["at_auto_accept"]["precision"], "recall_labelled": m["at_auto_accept"]["recall_labelled"], "precision_or_review": m["at_auto_accept_or_review"]["precision"], "recall_overall": m["recall_overall"], "coverage": m["coverage"], "unverified_share": m["unverified_accepts"]["share_of_accepts"], **{f"share_{k}": m["tier_shares"][t] for k, t in (("accept", "auto_accept"), ("review", "review"), ("reject", "reject"))}, "decisions_moved_to_review": m["ambiguity_rule"]["decisions_moved_to_review"]}
+    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {'long' if k == 'decisions_moved_to_review' else 'double'}" for k in row))
+
+
+@query("coverage_all_folds", with_parts("SELECT round(CAST(count(*) FILTER (WHERE tier = 'auto_accept') AS DOUBLE) / (SELECT count(*) FROM rec WHERE side = 'a'), 6) AS coverage_all_folds FROM dec WHERE method_version = 'rules_v1'", "dec", "rec"))
+def coverage_all_folds(spark, sf_dir):
+    pairs = methods.scored(scored_pairs(spark, sf_dir), native_scores()["rules_v1"])
+    value = evaluate.coverage_all_folds(decide.decide(pairs), catalogue.records(spark, sf_dir).filter("side = 'a'"))
+    return spark.createDataFrame([(value,)], "coverage_all_folds double")
+
+
+@query("decision_calibration", with_parts(f"SELECT CAST(b.i AS INTEGER) AS bin_index, count(j.v1) AS n, count(*) FILTER (WHERE j.top1_correct) AS observed FROM range(10) AS b(i) LEFT JOIN (SELECT * FROM rows_ WHERE labelled AND v1 IS NOT NULL) j ON {O.bin_case('j.v1')} = b.i GROUP BY 1", "rows_"))
+def decision_calibration(spark, sf_dir):
+    bins = evaluate.calibration_bins(evaluate.judged_decisions(replay_rows(spark, sf_dir)))
+    return bins.select("bin_index", "n", F.round(F.coalesce(F.col("observed_rate") * F.col("n"), F.lit(0))).cast("long").alias("observed"))
+
+
+@query("conservation", with_parts("SELECT count(*) AS a_records, count(DISTINCT a_id) AS distinct_a, count(*) FILTER (WHERE n_candidates > 0) AS with_candidates, count(*) FILTER (WHERE n_candidates = 0) AS without_candidates, count(*) FILTER (WHERE labelled) AS labelled_a, count(*) FILTER (WHERE labelled AND truth_reachable) AS labelled_a_reachable FROM rows_", "rows_"))
+def conservation(spark, sf_dir):
+    got = evaluate.conservation(replay_rows(spark, sf_dir), {})
+    return spark.createDataFrame([tuple(got.values())], ", ".join(f"{k} long" for k in got))
+
+
+@query("legacy_floors", with_parts(f", f AS (SELECT *, v1 >= 0.95 AND coalesce(v1 - v2 < 0.1::DOUBLE, FALSE) AS moved, labelled AND truth_reachable AS found FROM rows_), t AS (SELECT * FROM (VALUES {', '.join(f'({x!r}::DOUBLE)' for x in FLOORS)}) AS v(floor))\nSELECT floor, count(*) FILTER (WHERE v1 >= floor AND v1 < 0.95) AS queue_floor, count(*) FILTER (WHERE moved) AS queue_ambiguity, count(*) FILTER (WHERE v1 >= floor AND v1 < 0.95 OR moved) AS queue_total, round(CAST(count(*) FILTER (WHERE v1 >= floor AND v1 < 0.95 OR moved) AS DOUBLE) / count(*), 6) AS queue_share_of_test_a, round(CAST(count(*) FILTER (WHERE v1 >= 0.95 AND NOT moved AND labelled AND top1_correct) + count(*) FILTER (WHERE (v1 >= floor AND v1 < 0.95 OR moved) AND found) AS DOUBLE) / nullif(count(*) FILTER (WHERE found), 0), 6) AS recall_with_review FROM f CROSS JOIN t GROUP BY 1", "rows_").replace("\n, f AS", ",\nf AS"))
+def legacy_floors(spark, sf_dir):
+    points = evaluate.legacy_floors(replay_rows(spark, sf_dir), decide.Policy(0.95, 0.5, 0.1), FLOORS)
+    return spark.createDataFrame([tuple(p.values()) for p in points], "floor double, queue_floor long, queue_ambiguity long, queue_total long, queue_share_of_test_a double, recall_with_review double")
+
+
+@query("sweep_divergence", f"SELECT l.threshold, l.accepts AS accepts_legacy, c.accepted_all AS accepts_corrected, c.accepted_all - l.accepts AS difference FROM ({ORACLES['legacy_sweep']}) l JOIN ({ORACLES['accept_sweep']}) c ON l.threshold = c.accept_min WHERE c.accepted_all <> l.accepts")
+def sweep_divergence(spark, sf_dir):
+    rows = replay_rows(spark, sf_dir)
+    return evaluate.divergence(decide.legacy_sweep(rows, decide.Policy(0.95, 0.5, 0.1), list(SWEPT)), evaluate.accept_sweep(rows, 0.5, 0.1, SWEPT))
+
+
+@query("review_costs", f"SELECT accept_min AS threshold, r.cost_ratio, accepted_all AS accepts, review_all AS review_queue, CASE WHEN accepted > 0 THEN accepted_all * (1 - CAST(correct AS DOUBLE) / accepted) END AS expected_false_accepts, review_all + CASE WHEN accepted > 0 THEN accepted_all * (1 - CAST(correct AS DOUBLE) / accepted) END * r.cost_ratio AS total_cost FROM ({ORACLES['accept_sweep']}) CROSS JOIN (VALUES (1), (5), (20)) AS r(cost_ratio)")
+def review_costs(spark, sf_dir):
+    return evaluate.review_costs(evaluate.accept_sweep(replay_rows(spark, sf_dir), 0.5, 0.1, SWEPT))
+
+
+@query("anomaly_examples", with_parts(f", ts AS ({TRUTH_STATUS}), h AS (SELECT status, sha256(a_id || '|' || b_id) AS pair_hash FROM ts WHERE status <> 'truth_in_sample')\nSELECT status, pair_hash FROM (SELECT *, row_number() OVER (PARTITION BY status ORDER BY pair_hash) AS rn FROM h) WHERE rn <= 20", "truth", "rec").replace("\n, ts AS", ",\nts AS"))
+def anomaly_examples(spark, sf_dir):
+    return sampling.anomaly_examples(classified(spark, sf_dir))
+
+
+@query("ledger_consequences", with_parts("SELECT s.scenario_id, s.a_id, CASE WHEN s.accepted_b_id IS NOT NULL AND CAST(s.a_id AS INTEGER) % 3 = 2 THEN 'new_mapping' WHEN s.accepted_b_id = 'b' || (CAST(s.a_id AS INTEGER) % 7) THEN 'confirmed' WHEN s.accepted_b_id IS NOT NULL THEN 'changed' WHEN CAST(s.a_id AS INTEGER) % 3 <> 2 AND list_contains(string_split(s.rejected_candidates, '|'), 'b' || (CAST(s.a_id AS INTEGER) % 7)) THEN 'withdrawn' WHEN s.deferred THEN 'deferred' ELSE 'unchanged' END AS consequence FROM status s", "status"))
+def ledger_consequences(spark, sf_dir):
+    a = F.col("id").cast("int")
+    baseline = spark.range(40).filter("id % 3 <> 2").select(a.cast("string").alias("a_id"), F.concat(F.lit("b"), (a % 7).cast("string")).alias("b_id"))
+    return ledger.consequences(ledger.effective_state(ledger_events(spark, sf_dir)), baseline)
+
+
+@query("ledger_problems", "WITH e AS (SELECT event_id, event_id - 1 - event_id % 4 AS target, user_id % 3 AS s, user_id % 40 AS a, event_id % 10 AS n FROM events) SELECT problem, count(*) AS n FROM (SELECT 'an undo targets another case' AS problem FROM e u JOIN e t ON u.target = t.event_id WHERE u.n = 8 AND (u.s <> t.s OR u.a <> t.a) UNION ALL SELECT 'an undo targets an undo' FROM e u JOIN e t ON u.target = t.event_id WHERE u.n = 8 AND t.n = 8 UNION ALL SELECT 'an undo does not name an earlier event' FROM e u LEFT JOIN e t ON u.target = t.event_id WHERE u.n = 8 AND t.event_id IS NULL) GROUP BY 1")
+def ledger_problems(spark, sf_dir):
+    """Of the checks of a log, those whose findings SQL can count."""
+    text = F.lit(None).cast("string")
+    events = ledger_events(spark, sf_dir).withColumns({"snapshot_id": F.lit("s"), "supersedes_event_id": text})
+    wanted = ("an undo targets another case", "an undo targets an undo", "an undo does not name an earlier event")
+    return ledger.problems(events, "s").filter(F.col("problem").isin(*wanted)).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("several_accepts", "SELECT CAST(l_orderkey AS VARCHAR) AS a_id, l_returnflag AS method_version, count(*) AS accepts FROM lineitem WHERE l_discount >= 0.05 GROUP BY 1, 2 HAVING count(*) > 1")
+def several_accepts(spark, sf_dir):
+    mapping = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("a_id"), F.col("l_returnflag").alias("method_version"), F.when(F.col("l_discount") >= 0.05, "auto_accept").otherwise("review").alias("tier"))
+    return assertions.several_accepts(mapping)
+
+
+@query("flattened_items", "SELECT CAST(l_orderkey AS VARCHAR) AS item, min(year(l_shipdate))::INTEGER AS year, min(l_returnflag) AS class, array_to_string(list_sort(list_distinct(list('s' || l_suppkey))), '; ') AS performers FROM lineitem GROUP BY 1")
+def flattened_items(spark, sf_dir):
+    claims = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("item"), F.year("l_shipdate").alias("year"), F.col("l_returnflag").alias("class"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("performer"))
+    return dumps.flattened_items(claims)
+
+
+def dump_tables(spark, sf_dir) -> dict[str, DataFrame]:
+    """The tables of a dump, in the shapes of its readers, made from orders, customers, suppliers and lineitem."""
+    text = lambda c: F.col(c).cast("string")
+    o, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    return {
+        "release_group": o.select(text("o_orderkey").alias("id"), F.concat(F.lit("g"), text("o_orderkey")).alias("gid"), F.col("o_orderpriority").alias("name"), text("o_custkey").alias("artist_credit"), F.when(F.col("o_orderkey") % 5 > 0, (F.col("o_orderkey") % 25).cast("string")).alias("type")),
+        "artist_credit": table(spark, sf_dir, "customer").filter("c_custkey % 4 > 0").select(text("c_custkey").alias("id"), F.col("c_name").alias("name")),
+        "release_group_primary_type": table(spark, sf_dir, "nation").select(text("n_nationkey").alias("id"), F.col("n_name").alias("name")),
+        "release": line.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("id"), text("l_orderkey").alias("release_group")).distinct(),
+        "release_country": line.filter("l_linenumber % 2 = 0").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("release"), F.when(F.col("l_linenumber") < 4, F.year("l_shipdate").cast("string")).otherwise("x").alias("date_year")),
+        "release_unknown_country": line.filter("l_linenumber % 2 = 1").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("release"), F.when(F.col("l_linenumber") < 3, "0").otherwise(F.year("l_shipdate").cast("string")).alias("date_year")),
+        "l_release_group_url": o.filter("o_orderkey % 3 = 0").select(F.when(F.col("o_orderkey") % 2 == 0, "1").otherwise("2").alias("link"), text("o_orderkey").alias("entity0"), (F.col("o_custkey") % 50).cast("string").alias("entity1")),
+        "url": spark.range(50).select(F.col("id").cast("string").alias("id"), F.concat(F.when(F.col("id") % 2 == 0, F.lit("https://www.discogs.com/master/")).otherwise(F.lit("https://www.discogs.com/artist/")), F.col("id").cast("string")).alias("url")),
+        "link": spark.createDataFrame([("1", "10"), ("2", "11")], "id string, link_type string"),
+        "link_type": spark.createDataFrame([("10", "discogs")], "id string, name string"),
+    }
+
+
+@query("dump_release_groups", "WITH y AS (SELECT l_orderkey, min(CASE WHEN l_linenumber % 2 = 0 AND l_linenumber < 4 OR l_linenumber % 2 = 1 AND l_linenumber >= 3 THEN year(l_shipdate) END) AS y FROM lineitem GROUP BY 1) SELECT 'a' AS source, 'g' || o_orderkey AS native_id, o_orderpriority AS title, coalesce(c.c_name, '') AS artist_credit, CAST(y.y AS INTEGER) AS year, n.n_name AS primary_type, CAST(CASE WHEN o_orderkey % 3 = 0 AND (o_custkey % 50) % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_links FROM orders LEFT JOIN y ON y.l_orderkey = o_orderkey LEFT JOIN customer c ON c.c_custkey = o_custkey AND c.c_custkey % 4 > 0 LEFT JOIN nation n ON n.n_nationkey = o_orderkey % 25 AND o_orderkey % 5 > 0")
+def dump_release_groups(spark, sf_dir):
+    return dumps.release_groups(dump_tables(spark, sf_dir))
+
+
+@query("dump_links", "SELECT 'g' || o_orderkey AS a_id, CAST(o_custkey % 50 AS VARCHAR) AS b_id, CASE WHEN o_orderkey % 2 = 0 THEN 'discogs' END AS link_type FROM orders WHERE o_orderkey % 3 = 0 AND (o_custkey % 50) % 2 = 0")
+def dump_links(spark, sf_dir):
+    return dumps.master_links(dump_tables(spark, sf_dir))
+
+
+@query("links_extras", "WITH l AS (SELECT 'g' || o_orderkey AS a_id, CAST(o_custkey % 50 AS VARCHAR) AS b_id, CASE WHEN o_orderkey % 2 = 0 THEN 'discogs' ELSE 'none' END AS t FROM orders WHERE o_orderkey % 3 = 0 AND (o_custkey % 50) % 2 = 0), d AS (SELECT DISTINCT a_id, b_id FROM l) SELECT 'link_type' AS measure, t AS value, count(*) AS n FROM l GROUP BY 2 UNION ALL SELECT 'distinct', 'links', count(*) FROM d UNION ALL SELECT 'dead', 'b', count(*) FROM d WHERE CAST(b_id AS INTEGER) >= 25 UNION ALL SELECT 'dead', 'a', count(*) FROM d WHERE a_id NOT IN (SELECT 'g' || o_orderkey FROM orders) UNION ALL SELECT 'several', 'a', count(*) FROM (SELECT a_id FROM d GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'several', 'b', count(*) FROM (SELECT b_id FROM d GROUP BY 1 HAVING count(*) > 1)")
+def links_extras(spark, sf_dir):
+    tables = dump_tables(spark, sf_dir)
+    masters = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("native_id"))
+    return profile.links_extras(dumps.master_links(tables), dumps.release_groups(tables), masters)
+
+
 # blocking with the phonetic key, which SQL cannot express: these are held against a brute-force form
 
 
