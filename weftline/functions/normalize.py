@@ -67,6 +67,14 @@ def combining() -> str:
     return char_class([i for i in range(0x300, 0x30000) if not 0xD800 <= i < 0xE000 and not _base(chr(i))])
 
 
+@cache
+def any_mark() -> str:
+    """A class that holds combining() and is cheap to look for: all marks by their property, what the JVM does not know yet, and
+    the few others in it."""
+    others = [i for i in range(0x300, 0x30000) if not 0xD800 <= i < 0xE000 and not _base(chr(i)) and unicodedata.category(chr(i))[0] != "M"]
+    return r"[\p{M}\p{Cn}" + char_class(others)[1:]
+
+
 @cache
 def several() -> str:
     """The class of the characters from TABLE_BELOW on that decompose into several."""
@@ -82,8 +90,9 @@ def strip_marks(text: Column) -> Column:
     replaced = out
     for c, base in longer:
         replaced = F.replace(replaced, F.lit(c), F.lit(base))
-    marks = combining()
-    marked = F.regexp_replace(F.when(out.rlike(f"[{low}]"), replaced).otherwise(out), marks, "")
+    spelled = F.when(out.rlike(f"[{low}]"), replaced).otherwise(out)
+    # the class of combining marks has hundreds of ranges; few texts have any mark after the table
+    marked = F.when(spelled.rlike(any_mark()), F.regexp_replace(spelled, combining(), "")).otherwise(spelled)
     # a scan for any character beyond ASCII is far cheaper than looking each one up
     return F.when(text.rlike(r"[^\x00-\x7F]"), marked).otherwise(text)
 
@@ -95,7 +104,7 @@ def _spelled(text: pd.Series) -> pd.Series:
 
 def spelled_out(text: Column) -> Column:
     """text, with its marks stripped if it has a character that decomposes into several: the only texts that reach Python."""
-    some = text.rlike(several())
+    some = text.rlike(rf"[^\x00-\x{{{TABLE_BELOW - 1:x}}}]") & text.rlike(several())  # the first is cheap and seldom true
     return F.when(some, _spelled(F.when(some, text))).otherwise(text)
 
 
