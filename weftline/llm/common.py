@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.session import cut, shared_folder  # noqa: F401
+
 ARROW_TYPES = {
     "long": pa.int64(),
     "int": pa.int32(),
@@ -37,26 +37,6 @@ def held_out(doc_id: str | Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % 4 == 2, F.lit(False))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session, which all executors see.
-
-    Only a local session, whose executors are threads of the driver, is given a folder of its own where none is set.
-    """
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        place = spark.conf.get("spark.checkpoint.dir", None)
-        if not place and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
-        context.setCheckpointDir(place or tempfile.mkdtemp(prefix="weftline-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it from there, so that a lost executor costs no recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def ddl(fields: list[tuple[str, str]]) -> str:
     return ", ".join(f"`{name}` {kind}" for name, kind in fields)
 
