@@ -42,8 +42,8 @@ def effective_state(events: DataFrame) -> DataFrame:
     return out.select(*CASE, status.alias("status"), "accepted_b_id", "accepted_event_id", "deferred", F.coalesce("rejected_candidates", F.array().cast("array<string>")).alias("rejected_candidates"))
 
 
-def problems(events: DataFrame, snapshot_id: str) -> DataFrame:
-    """(event_id, problem) of a log.
+def problems(events: DataFrame, snapshot_id: str, superseding: bool = True) -> DataFrame:
+    """(event_id, problem) of a log. superseding: False leaves the walk out, for who does not ask for what it finds.
 
     The accept that an accept has to supersede depends on what had been undone by then, so it is found by an ordered walk of
     each case's own events (walk() below), after the checks that single rows and joins can make.
@@ -72,36 +72,41 @@ def problems(events: DataFrame, snapshot_id: str) -> DataFrame:
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
-    return out.unionByName(walk(events))
+    return out.unionByName(walk(events)) if superseding else out
 
 
 def walk(events: DataFrame) -> DataFrame:
     """(event_id, problem): accepts that do not supersede the accept effective at their time.
 
-    An ordered fold of each case's events, which a person makes, so a case stays small.
+    An ordered fold of each case's events, in time linear in them.
     """
+    from collections import defaultdict
     from collections.abc import Iterator
 
     import pandas as pd
 
+    def live(held: list, undone: set):
+        """The last of held that is not undone."""
+        while held and held[-1][1]["event_id"] in undone:
+            held.pop()
+        return held[-1] if held else None
+
     def check(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
         own = pd.concat(list(batches)).sort_values("seq").to_dict("records")
-        kept, undone, wrong = [], set(), []
-        for e in own:
+        # what is undone stays undone, so undone events leave the ends of the lists for good: each event is looked at once or twice
+        accepts, rejects, undone, wrong = [], defaultdict(list), set(), []
+        for n, e in enumerate(own):
             if e["action"] == "undo":
                 undone.add(e["reverses_event_id"])
-            if e["action"] == "accept_candidate":
-                current = None
-                for x in kept:
-                    if x["event_id"] in undone:
-                        continue
-                    if x["action"] == "accept_candidate":
-                        current = x
-                    elif x["action"] == "reject_candidate" and current is not None and current["b_id"] == x["b_id"]:
-                        current = None
+            elif e["action"] == "reject_candidate":
+                rejects[e["b_id"]].append((n, e))
+            elif e["action"] == "accept_candidate":
+                last = live(accepts, undone)
+                later = live(rejects[last[1]["b_id"]], undone) if last else None
+                current = last[1] if last and not (later and later[0] > last[0]) else None
                 if (e["supersedes_event_id"] or None) != (current["event_id"] if current else None):
                     wrong.append(e["event_id"])
-            kept.append(e)
+                accepts.append((n, e))
         return pd.DataFrame({"event_id": pd.Series(wrong, dtype="object"), "problem": "an accept does not supersede the effective accept"})
 
     return events.select(*CASE, "seq", "event_id", "action", "b_id", "supersedes_event_id", "reverses_event_id").groupBy(*CASE).applyInPandas(lambda pdf: check(iter([pdf.astype(object).where(pdf.notna(), None)])), "event_id string, problem string")
