@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.hashing import index_hash
 from weftline.schemas import PAIR_FEATURES
+from weftline.session import cut
 
 # Fixed values of the rules method and of the gates.
 TITLE_WEIGHT, ARTIST_WEIGHT, YEAR_WEIGHT = 0.45, 0.35, 0.20
@@ -21,6 +23,8 @@ LEAST_PRECISION = 0.50
 F1_LEAD, PRECISION_GATE, ACCEPTS_GATE = 0.15, 0.995, 1000
 #: Slices of the scores' range that a curve is summed up in.
 SLICES = 4096
+#: Labelled pairs that a task of the training reads at least, where there are so many.
+TASK_ROWS = 20_000
 
 
 def exact_score() -> Column:
@@ -108,10 +112,17 @@ def design(features: DataFrame) -> DataFrame:
 
 
 def fit_learned(features: DataFrame, truth: DataFrame, trees: int = 30, depth: int = 5, rate: float = 0.1, least_leaf: int = 50, seed: int = 0) -> Learned:
-    """Trees on the labelled fit-fold pairs with balanced weights, isotonic calibration on the calibrate fold."""
-    labelled = with_labels(features, truth).filter("label is not null")
+    """Trees on the labelled fit-fold pairs with balanced weights, isotonic calibration on the calibrate fold.
+
+    The labelled pairs of the two folds are made once and cut off: each tree reads them for each of its levels, and the plan of
+    the features is large. They are read in tasks of TASK_ROWS rows at least, as the driver keeps a record of every task.
+    """
+    used = features.filter(F.col("fold").isin("fit", "calibrate")).join(truth.select("a_id").distinct(), "a_id", "left_semi")
+    labelled = cut(with_labels(used, truth).filter("label is not null").select("a_id", "b_id", "fold", "label", *PAIR_FEATURES))
+    counts = {(r["fold"], r["label"]): r["n"] for r in labelled.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labelled = labelled.coalesce(max(1, math.ceil(sum(counts.values()) / TASK_ROWS)))
     fit, held = labelled.filter("fold = 'fit'"), labelled.filter("fold = 'calibrate'")
-    sizes = {r["label"]: r["n"] for r in fit.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {label: n for (fold, label), n in counts.items() if fold == "fit"}
     if len(sizes) < 2:
         raise ValueError("the fit fold needs pairs of both labels")
     total = sum(sizes.values())
@@ -120,7 +131,7 @@ def fit_learned(features: DataFrame, truth: DataFrame, trees: int = 30, depth: i
     raw = model.transform(design(held)).select(vector_to_array("probability")[1].alias("score"), F.col("label").cast("double").alias("label"))
     base = raw.withColumn("features", _vector("score"))
     calibration = IsotonicRegression(labelCol="label", featuresCol="features").fit(base)
-    counts = {"trained_on": total, "positive": sizes[1], "calibrated_on": base.count()}
+    counts = {"trained_on": total, "positive": sizes[1], "calibrated_on": sum(n for (fold, _), n in counts.items() if fold == "calibrate")}
     hashes = {"fit_index_sha256": index_hash(fit), "calibrate_index_sha256": index_hash(held)}
     return Learned(model, calibration, {"trees": trees, "depth": depth, "rate": rate, "least_leaf": least_leaf, "seed": seed, "features": list(PAIR_FEATURES)} | counts | hashes)
 
