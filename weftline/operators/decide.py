@@ -31,16 +31,17 @@ class Policy:
             raise PolicyError(f"0 <= review_min <= accept_min <= 1 and a gap in [0, 1] are needed, got {self}")
 
 
-def top_two(pairs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(a_id, b_id, v1, v2, carried columns of the best): value descending, ties to the smaller B id as text.
+def top_two(pairs: DataFrame, carry: tuple[str, ...] = (), by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, a_id, b_id, v1, v2, carried columns of the best): value descending, ties to the smaller B id as text. by: columns
+    whose values have their best each.
 
     An aggregation with the two best rows as its state would need a function of its own; the ranked window is limited to
     two rows for each A record before the shuffle, and the best row carries the second's value by lead().
     """
-    order = Window.partitionBy("a_id").orderBy(F.desc("probability"), "b_id")
+    order = Window.partitionBy(*by, "a_id").orderBy(F.desc("probability"), "b_id")
     ranked = pairs.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= 2)
     best = ranked.withColumn("v2", F.lead("probability").over(order)).filter(F.col("_n") == 1)
-    return best.select("a_id", "b_id", F.col("probability").alias("v1"), "v2", *carry)
+    return best.select(*by, "a_id", "b_id", F.col("probability").alias("v1"), "v2", *carry)
 
 
 def base_tier(v: Column, accept: Column, review: Column) -> Column:
@@ -57,11 +58,11 @@ def decision_columns(accept: Column, review: Column, gap: Column) -> dict[str, C
     return {"tier": F.when(v1.isNull(), "reject").when(unclear, "review").otherwise(base), "reason": reason, "gap": apart, "ambiguous": unclear, "demoted": unclear & F.coalesce(v1 >= accept, F.lit(False))}
 
 
-def decide(pairs: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """(a_id, b_id, score, probability, tier, fold, top2_gap, ambiguity_review, block_keys) from scored pairs."""
+def decide(pairs: DataFrame, policy: Policy = Policy(), by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, a_id, b_id, score, probability, tier, fold, top2_gap, ambiguity_review, block_keys) from scored pairs."""
     carry = tuple(c for c in ("score", "fold", "block_keys") if c in pairs.columns)
     made = decision_columns(F.lit(policy.accept_min), F.lit(policy.review_min), F.lit(policy.ambiguity_gap))
-    return top_two(pairs, carry).withColumns(made).select("a_id", "b_id", *carry, F.col("v1").alias("probability"), "tier", F.col("gap").alias("top2_gap"), F.col("demoted").alias("ambiguity_review"))
+    return top_two(pairs, carry, by).withColumns(made).select(*by, "a_id", "b_id", *carry, F.col("v1").alias("probability"), "tier", F.col("gap").alias("top2_gap"), F.col("demoted").alias("ambiguity_review"))
 
 
 def tier_of(p: Column, policy: Policy = Policy()) -> Column:

@@ -1,4 +1,4 @@
-"""Pair features: two look-ups and one projection."""
+"""Pair features: two look-ups and one projection, or, without Python, found where the pairs are made."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.similarity import fuzzy_features
+from weftline.operators import blocking
 from weftline.schemas import FUZZY_FEATURES, NATIVE_FEATURES
 
 LOOKED_UP = ("title_norm", "artist_norm", "artist_norm_full", "title_qualifiers", "year_norm", "is_various_artists")
@@ -17,7 +18,7 @@ def with_records(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     return pairs.join(left, "a_id").join(right, "b_id")
 
 
-def native(pairs: DataFrame) -> dict[str, Column]:
+def native() -> dict[str, Column]:
     text = lambda c: F.coalesce(c, F.lit(""))
     same = lambda c: (text(f"{c}_a") == text(f"{c}_b")).cast("int")
     words = lambda s: F.array_sort(F.array_distinct(F.coalesce(f"title_qualifiers_{s}", F.array().cast("array<string>"))))
@@ -33,6 +34,12 @@ def native(pairs: DataFrame) -> dict[str, Column]:
     }
 
 
+def native_features(a: DataFrame, b: DataFrame, cap: int = blocking.CAP) -> DataFrame:
+    """pair_features(candidates(a, b, cap), a, b, fuzzy=False), with the pairs dealt once."""
+    found = {f: c for f, c in native().items() if f != "n_block_keys"}
+    return blocking.candidates(a, b, cap, LOOKED_UP, found).select("a_id", "b_id", "block_keys", *NATIVE_FEATURES)
+
+
 def pair_features(pairs: DataFrame, a: DataFrame, b: DataFrame, fuzzy: bool = True, keep: tuple[str, ...] = ("a_id", "b_id", "fold", "block_keys")) -> DataFrame:
     """The kept columns of pairs and the features; without fuzzy only those that need no Python.
 
@@ -40,7 +47,7 @@ def pair_features(pairs: DataFrame, a: DataFrame, b: DataFrame, fuzzy: bool = Tr
     """
     held = with_records(pairs, a, b)
     kept = [c for c in keep if c in pairs.columns]
-    exprs = native(held)
+    exprs = native()
     if not fuzzy:
         return held.select(*kept, *[exprs[f].alias(f) for f in NATIVE_FEATURES])
     scored = held.withColumn("_f", fuzzy_features("title_norm_a", "title_norm_b", "artist_norm_a", "artist_norm_b"))
