@@ -20,14 +20,18 @@ def test_as_looked_up(spark, cap):
     assert rows(features.native_features(a, b, cap)) == rows(features.pair_features(whole, a, b, fuzzy=False))
 
 
-def test_pairs_are_dealt_once(spark):
-    """After the join that makes the pairs, one exchange, by a_id: none for the cap, the records and the decisions."""
+@pytest.mark.parametrize("made,exchanges", [(queries.all_decisions, 1), (queries.QUERIES["pair_features_fuzzy"], 2)])
+def test_pairs_are_dealt_once(spark, made, exchanges):
+    """After the join that makes the pairs, one exchange by a_id, none for the cap and the decisions; similarities need one more, by b_id."""
     before = spark.conf.get("spark.sql.adaptive.enabled")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = queries.all_decisions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        plan = made(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     lines = plan.splitlines()
     joined = next(i for i, x in enumerate(lines) if "Join [kinds#" in x and "LeftSemi" not in x and "LeftOuter" not in x)
-    assert sum("Exchange " in x for x in lines[:joined]) == 1
+    assert sum("Exchange hashpartitioning(a_id" in x or "Exchange hashpartitioning(b_id" in x or "Exchange hashpartitioning(method" in x or "Exchange hashpartitioning(concat" in x for x in lines[:joined]) == exchanges
