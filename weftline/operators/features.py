@@ -47,8 +47,18 @@ def pair_features(pairs: DataFrame, a: DataFrame, b: DataFrame, fuzzy: bool = Tr
     """
     held = with_records(pairs, a, b)
     kept = [c for c in keep if c in pairs.columns]
-    exprs = native()
     if not fuzzy:
+        exprs = native()
         return held.select(*kept, *[exprs[f].alias(f) for f in NATIVE_FEATURES])
+    return _with_similarities(held, kept)
+
+
+def candidate_features(a: DataFrame, b: DataFrame, cap: int = blocking.CAP) -> DataFrame:
+    """pair_features(candidates(a, b, cap), a, b), without an exchange of pairs."""
+    return _with_similarities(blocking.candidates_with_records(a, b, cap, LOOKED_UP), ["a_id", "b_id", "block_keys"])
+
+
+def _with_similarities(held: DataFrame, kept: list[str]) -> DataFrame:
+    exprs = native()
     scored = held.withColumn("_f", fuzzy_features("title_norm_a", "title_norm_b", "artist_norm_a", "artist_norm_b"))
     return scored.select(*kept, *[F.col(f"_f.{f}").alias(f) for f in FUZZY_FEATURES], *[exprs[f].alias(f) for f in NATIVE_FEATURES])
