@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.hashing import index_hash
+from weftline.operators import boosting
 from weftline.schemas import PAIR_FEATURES
-from weftline.session import cut
+from weftline.session import stored
 
 # Fixed values of the rules method and of the gates.
 TITLE_WEIGHT, ARTIST_WEIGHT, YEAR_WEIGHT = 0.45, 0.35, 0.20
@@ -89,12 +87,12 @@ def fit_thresholds(decisions: DataFrame, recall_base: int) -> tuple[float, float
 class Learned:
     """Boosted trees, calibrated."""
 
-    trees: PipelineModel | object
+    trees: boosting.Trees
     calibration: object
     record: dict = field(default_factory=dict)
 
     def score(self, features: DataFrame) -> DataFrame:
-        raw = self.trees.transform(design(features)).withColumn("score", vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction", "features")
+        raw = features.withColumn("score", self.trees.score(design()))
         calibrated = self.calibration.transform(raw.withColumn("features", F.col("score")).withColumn("features", _vector("features")))
         return calibrated.withColumn("probability", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prediction")))).drop("prediction", "features")
 
@@ -105,20 +103,19 @@ def _vector(column: str):
     return array_to_vector(F.array(column))
 
 
-def design(features: DataFrame) -> DataFrame:
-    """The feature vector. A missing year difference is -1 beside its own flag."""
-    filled = features.withColumn("_year", F.coalesce("year_diff", F.lit(-1)))
-    return VectorAssembler(inputCols=[*(f for f in PAIR_FEATURES if f != "year_diff"), "_year"], outputCol="features").transform(filled).drop("_year")
+def design() -> list[Column]:
+    """The columns that trees are grown on. A missing year difference is -1 beside its own flag."""
+    return [*(F.col(f) for f in PAIR_FEATURES if f != "year_diff"), F.coalesce("year_diff", F.lit(-1))]
 
 
 def fit_learned(features: DataFrame, truth: DataFrame, trees: int = 30, depth: int = 5, rate: float = 0.1, least_leaf: int = 50, seed: int = 0) -> Learned:
     """Trees on the labelled fit-fold pairs with balanced weights, isotonic calibration on the calibrate fold.
 
-    The labelled pairs of the two folds are made once and cut off: each tree reads them for each of its levels, and the plan of
-    the features is large. They are read in tasks of TASK_ROWS rows at least, as the driver keeps a record of every task.
+    The labelled pairs of the two folds are made once and cut off, as they are read several times and the plan of the features is
+    large. They are read in tasks of TASK_ROWS rows at least, as the driver keeps a record of every task.
     """
     used = features.filter(F.col("fold").isin("fit", "calibrate")).join(truth.select("a_id").distinct(), "a_id", "left_semi")
-    labelled = cut(with_labels(used, truth).filter("label is not null").select("a_id", "b_id", "fold", "label", *PAIR_FEATURES))
+    labelled = stored(with_labels(used, truth).filter("label is not null").select("a_id", "b_id", "fold", "label", *PAIR_FEATURES))
     counts = {(r["fold"], r["label"]): r["n"] for r in labelled.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     labelled = labelled.coalesce(max(1, math.ceil(sum(counts.values()) / TASK_ROWS)))
     fit, held = labelled.filter("fold = 'fit'"), labelled.filter("fold = 'calibrate'")
@@ -126,14 +123,14 @@ def fit_learned(features: DataFrame, truth: DataFrame, trees: int = 30, depth: i
     if len(sizes) < 2:
         raise ValueError("the fit fold needs pairs of both labels")
     total = sum(sizes.values())
-    weight = F.when(F.col("label") == 1, total / (2 * sizes[1])).otherwise(total / (2 * sizes[0]))
-    model = GBTClassifier(labelCol="label", weightCol="w", maxIter=trees, maxDepth=depth, stepSize=rate, minInstancesPerNode=least_leaf, seed=seed).fit(design(fit).withColumn("w", weight))
-    raw = model.transform(design(held)).select(vector_to_array("probability")[1].alias("score"), F.col("label").cast("double").alias("label"))
+    with ThreadPoolExecutor(1) as beside:  # trees may be grown by one task, so other work is done meanwhile
+        hashes = beside.submit(lambda: {"fit_index_sha256": index_hash(fit), "calibrate_index_sha256": index_hash(held)})
+        model = boosting.fit(fit, design(), (total / (2 * sizes[0]), total / (2 * sizes[1])), trees, depth, rate, least_leaf)
+    raw = held.select(model.score(design()).alias("score"), F.col("label").cast("double").alias("label"))
     base = raw.withColumn("features", _vector("score"))
     calibration = IsotonicRegression(labelCol="label", featuresCol="features").fit(base)
     counts = {"trained_on": total, "positive": sizes[1], "calibrated_on": sum(n for (fold, _), n in counts.items() if fold == "calibrate")}
-    hashes = {"fit_index_sha256": index_hash(fit), "calibrate_index_sha256": index_hash(held)}
-    return Learned(model, calibration, {"trees": trees, "depth": depth, "rate": rate, "least_leaf": least_leaf, "seed": seed, "features": list(PAIR_FEATURES)} | counts | hashes)
+    return Learned(model, calibration, {"trees": trees, "depth": depth, "rate": rate, "least_leaf": least_leaf, "seed": seed, "features": list(PAIR_FEATURES)} | counts | hashes.result())
 
 
 class TooGood(RuntimeError):
